@@ -46,7 +46,7 @@ _LATIN = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed d
 _FILLER = re.compile(
     r"\b(?:insert|add|enter|write|put)\s+(?:your\s+|a\s+|the\s+)?(?:\w+\s+){0,2}?(?:description|title|text|copy|name|bullet points?|content)\b(?:\s+(?:here|before launch|later))?[.… ]*"
     r"|\b(?:\w+\s+){0,2}?(?:description|title|text|copy|content)\s+(?:goes here|here|coming soon|to follow|to come)\b[. ]*"
-    r"|\b(?:todo|tbd|fixme)\b[: ]*(?:(?:write|add|insert|product|marketing|short|title|description|text|copy|here|before|launch)\b[ .]*)*"
+    r"|\b(?:todo|tbd|fixme)\b[: ]*(?:(?:write|add|insert|bullet|points?|product|marketing|short|title|description|text|copy|here|before|launch)\b[ .]*)*"
     r"|\bplaceholder (?:copy|text|title|description)(?: for (?:item|product|title))?\b[. ]*"
     r"|\b(?:sample|test|dummy|example) (?:product|item|listing|text|title)\b(?:\s*-?\s*do not (?:publish|buy|use|order))?[. ]*"
     r"|\bbefore launch\b",
@@ -98,7 +98,7 @@ _CODE = re.compile(r"```.*?(?:```|$)|(?m:^(?: {4}|\t).*$)", re.S)
 #: A placeholder is residue from this share of its sentence on (the second where it could be a plain word in
 #: brackets); filler and notices from these of the whole text.
 SENTENCE_SHARE, WEAK_SHARE, FILLER_SHARE, NOTICE_SHARE = 0.15, 0.3, 0.6, 0.6
-_WEAK = re.compile(r"[{\[<][A-Za-z]+[}\]>]")
+_WEAK = re.compile(r"\{(?!(?:brand|model|title|name|sku|seller|category|price|product|item|city|customer|store)\})[a-z]+\}")
 #: Cheap tests: no hit of a pattern is possible without these.
 _MAY_HOLD = re.compile(r"[{\[<%$#@*(]|__|NaN|undefined|null")
 _MAY_SAY = re.compile(r"script|cookie|robot|human|connection|browser|interruption|traffic|denied|blocked|requests|forbidden|gateway|found|unauthorized|unavailable|server error|[45][0-9]{2}|upstream|wrong|expired|error|wartung|maintenance|request", re.I)
@@ -145,12 +145,14 @@ def filler_share(text: str) -> float:
         counts[w] = counts.get(w, 0) + 1
     latin = sum(w in _LATIN for w in words)
     few = len(counts) * 2 <= len(tokens) or len(counts) <= 2 < len(tokens)
+    runs = {w for a, w, z in zip(words, words[1:], words[2:], strict=False) if w and a == w == z}
     for t, w in zip(tokens, words, strict=True):
         mash = len(w) >= 4 and any(w in k or w in k[::-1] for k in _KEYS)
         if (
             (w in _LATIN and latin >= 3)
             or (w and len(w) >= 6 and len(set(w)) == 1)
             or mash
+            or w in runs
             or (counts[w] >= 3 and (few or counts[w] * len(w) * 2 >= total))
             or (counts[w] >= 2 and few and len(tokens) >= 4)
             or (not w and len(tokens) >= 3)
