@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import leakage, quantiles, residue, textstats
+from marketloom.llm import leakage, neardup, packing, quantiles, residue, textstats
 from marketloom.tables import load
 
 
@@ -24,6 +24,14 @@ def p6_combined(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.combine(quantiles.part_summaries(items, "query", "total_price", "day"), "query")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicate_pairs(load(spark, d, "deal_items"))
+
+
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(load(spark, d, "documents"), load(spark, d, "context_sizes"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(load(spark, d, "documents"), load(spark, d, "test_items"))
 
@@ -37,7 +45,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return textstats.statistics(textstats.document_counts(load(spark, d, "documents"), load(spark, d, "common_words")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p6_percentiles, p6_combined, p9_found, p10_found, p10_statistics)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p6_percentiles, p6_combined, p7_found, p8_packing, p9_found, p10_found, p10_statistics)}
 
 SQL: dict[str, str] = {
     "p6_percentiles": """
