@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import leakage, neardup, packing, quantiles, residue, textstats
+from marketloom.llm import leakage, neardup, packing, products, quantiles, residue, textstats
 from marketloom.tables import load
 
 
@@ -15,6 +15,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_pages(load(spark, d, "redsky_pages")).select("page_id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return products.same_product_pairs(load(spark, d, "deal_items"))
+
+
 def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.select_percentiles(load(spark, d, "deal_items"), "query", "total_price")
 
@@ -45,7 +49,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return textstats.statistics(textstats.document_counts(load(spark, d, "documents"), load(spark, d, "common_words")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p6_percentiles, p6_combined, p7_found, p8_packing, p9_found, p10_found, p10_statistics)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p5_found, p6_percentiles, p6_combined, p7_found, p8_packing, p9_found, p10_found, p10_statistics)}
 
 SQL: dict[str, str] = {
     "p6_percentiles": """
