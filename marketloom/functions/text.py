@@ -1,0 +1,127 @@
+"""Text and URL expressions; all JVM-side except entities and compatibility forms, which need `unescape`."""
+
+from __future__ import annotations
+
+import html
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Tracking parameters dropped from URLs: exact names, and prefixes.
+TRACKING = ("gclid", "fbclid", "msclkid", "mc_cid", "mc_eid", "igshid", "ref_", "spm", "cmpid", "affid")
+TRACKING_PREFIXES = ("utm_", "pk_", "mtm_")
+_BLOCKS = r"(?is)<(script|style|noscript)\b.*?(</\1\s*>|$)"
+_COMMENTS = r"(?s)<!--.*?(-->|$)|<!\[CDATA\[|\]\]>"
+_BREAKS = r"(?i)</?(br|p|div|li|ul|ol|tr|table|h[1-6]|section|article)\b[^>]*>"
+_INVISIBLE = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f\\u00ad\\u200b-\\u200f\\u202a-\\u202e\\u2060-\\u2064\\ufeff]"
+
+
+@F.pandas_udf(T.StringType())
+def unescape(s: pd.Series) -> pd.Series:
+    """HTML entities resolved twice, trademark signs dropped, compatibility forms folded."""
+    return s.map(lambda t: unicodedata.normalize("NFKC", html.unescape(html.unescape(t)).translate({0x2122: None, 0xAE: None, 0xA9: None})) if t else t)
+
+
+def strip_markup(c: Column) -> Column:
+    """Without script and style blocks and comments (unclosed ones run to the end); block tags become line breaks."""
+    c = F.regexp_replace(F.regexp_replace(c, _BLOCKS, " "), _COMMENTS, " ")
+    return F.regexp_replace(F.regexp_replace(c, _BREAKS, "\n"), r"<[^>]{0,2000}>", "")
+
+
+def squeeze(c: Column, keep_newlines: bool = False) -> Column:
+    c = F.regexp_replace(F.translate(c, "‘’“”–—− ", "''\"\"--- "), _INVISIBLE, "")
+    if keep_newlines:
+        c = F.regexp_replace(F.regexp_replace(c, r"[^\S\n]+", " "), r" ?\n[ \n]*", "\n")
+        return F.trim(F.regexp_replace(c, r"^\n+|\n+$", ""))
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+def truncate(c: Column, most: int) -> Column:
+    """At most `most` characters, cut at a space if there is one in the last 40 %."""
+    head = F.substring(c, 1, most)
+    back = F.regexp_extract(head, rf"(?s)^(.{{{int(most * 0.6)},}})\s", 1)
+    return F.when(F.length(c) <= most, c).otherwise(F.when(back != "", F.rtrim(back)).otherwise(head))
+
+
+def clean_text(c: Column, most: int = 2000, keep_newlines: bool = False) -> Column:
+    """Markup out, entities resolved, invisible characters out, quotes and dashes folded, white space squeezed.
+    Input beyond 8 * `most` characters isn't looked at, which bounds the work on hostile texts."""
+    c = strip_markup(F.substring(c, 1, 8 * most))
+    c = F.when(c.rlike("[&\\x{80}-\\x{10ffff}]"), unescape(c)).otherwise(c)
+    return truncate(squeeze(strip_markup(c), keep_newlines), most)
+
+
+def canonical_url(u: Column) -> Column:
+    """Lower-case scheme and host without credentials, default port, final dot; no fragment, no tracking
+    parameters; other parameters stay as and where they were. Null for what isn't an http(s) URL."""
+    u = F.regexp_replace(F.trim(u), "#.*$", "")
+    scheme = F.lower(F.regexp_extract(u, r"(?i)^(https?)://", 1))
+    rest = F.regexp_extract(u, r"(?i)^https?://(.*)$", 1)
+    authority = F.regexp_extract(rest, r"^([^/?]*)", 1)
+    host = F.lower(F.regexp_replace(authority, "^.*@", ""))
+    host = F.regexp_replace(F.when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(F.regexp_replace(host, ":80$", "")), r"\.(?=$|:)", "")
+    path = F.regexp_extract(rest, r"^[^/?]*([^?]*)", 1)
+    query = F.regexp_extract(rest, r"\?(.*)$", 1)
+    name = lambda p: F.lower(F.regexp_extract(p, "^([^=]*)", 1))
+    keep = F.filter(F.split(query, "&"), lambda p: (p != "") & ~name(p).isin(*TRACKING) & ~F.array_contains(F.array(*(name(p).startswith(x) for x in TRACKING_PREFIXES)), True))
+    kept = F.array_join(keep, "&")
+    return F.when((scheme != "") & (host != ""), F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
+
+
+def host_of(u: Column) -> Column:
+    return F.regexp_replace(F.regexp_extract(canonical_url(u), r"^https?://([^/:?]+)", 1), r"^www\.", "")
+
+
+def redact_url(u: Column) -> Column:
+    """Credentials and values of secret parameters masked."""
+    u = F.regexp_replace(u, r"(?i)^([a-z][a-z0-9+.-]*://)[^/@]*@", "$1***@")
+    return F.regexp_replace(u, r"(?i)([?&](?:token|key|api_?key|secret|password|sig|signature|access_token)=)[^&#]*", "$1***")
+
+
+def escape_html(c: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def escape_markdown(c: Column) -> Column:
+    return F.regexp_replace(c, r"([\\*_~`|>\[\]()#])", r"\\$1")
+
+
+def utf16_length(c: Column) -> Column:
+    """Length in UTF-16 units, as chat services count."""
+    return (F.length(F.encode(c, "UTF-16BE")) / 2).cast("int")
+
+
+def safe_text(c: Column, most: int) -> Column:
+    """Without NUL, clipped to a column width."""
+    return F.substring(F.regexp_replace(c, "\\x00", ""), 1, most)
+
+
+def store_name(c: Column, suffixes: tuple[str, ...] = ("online", "store", "shop", "official")) -> Column:
+    """A store's key: case, punctuation and generic endings folded away; null for empty names."""
+    c = F.lower(F.trim(c))
+    c = F.regexp_replace(c, rf"(?:\s+(?:{'|'.join(suffixes)}))+$", "")
+    c = F.regexp_replace(c, r"[^a-z0-9]+", "")
+    return F.when(c != "", c)
+
+
+#: Ordered rules of condition words and codes; the first that fits counts.
+CONDITIONS: tuple[tuple[str, str], ...] = (
+    (r"^7000$|parts|not working|broken", "for_parts"),
+    (r"^(?:1500|1750)$|open.?box|like new", "open_box"),
+    (r"^(?:2000|2010|2020|2030|2500)$|refurb|renewed|recertified", "refurbished"),
+    (r"^(?:2750|2990|3000|3010|4000|5000|6000)$|used|pre.?owned|good|acceptable|fair", "used"),
+    (r"^1000$|\bnew\b|sealed", "new"),
+)
+
+
+def condition_of(c: Column) -> Column:
+    t = F.lower(F.trim(c))
+    out = F.lit("unknown")
+    for pattern, name in reversed(CONDITIONS):
+        out = F.when(t.rlike(pattern), name).otherwise(out)
+    return out
