@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from marketloom.plans import data_queries
+from marketloom.plans import data_queries, reference_queries
 
-MODULES = (data_queries,)
+MODULES = (data_queries, reference_queries)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
