@@ -192,14 +192,18 @@ def features(items: DataFrame, key: Column, origin: Column, texts: Column, bands
 
 
 def similar_nodes(f: DataFrame, likeness: float = LIKENESS, max_different: int = MAX_DIFFERENT) -> DataFrame:
-    """(a, b), a < b: nodes whose k-mer sets have at least `likeness` of their union in common."""
+    """(a, b), a < b: nodes whose k-mer sets have at least `likeness` of their union in common.
+
+    Bands and sets are read on both sides of a join, which Spark's exchange reuse doesn't see through here: they
+    are kept partitioned by their join key, so that each is shuffled once."""
+    n = int(f.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = f.where("bands is not null")
     rows = first.select("node", "bits", F.posexplode("bands").alias("band", "sig"))
-    rows = rows.repartition("band", "sig").groupBy("band", "sig", "node").agg(F.first("bits").alias("bits"))
+    rows = rows.repartition(n, "band", "sig").groupBy("band", "sig", "node").agg(F.first("bits").alias("bits")).persist(StorageLevel.MEMORY_AND_DISK)
     x, y = rows.alias("x"), rows.alias("y")
     near = (F.col("x.band") == F.col("y.band")) & (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= max_different)
     pairs = x.join(y, near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    sets = first.select("node", "grams").repartition("node").groupBy("node").agg(F.first("grams").alias("grams"))
+    sets = first.select("node", "grams").repartition(n, "node").groupBy("node").agg(F.first("grams").alias("grams")).persist(StorageLevel.MEMORY_AND_DISK)
     pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
     pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
     both = F.size(F.array_intersect("ga", "gb"))
