@@ -132,10 +132,10 @@ def snapshot_append_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
     SELECT source, source_id, arg_min(retailer, item_id) FILTER (retailer IS NOT NULL) AS retailer, arg_min(sku, item_id) FILTER (sku IS NOT NULL) AS sku,
-      arg_min(description, item_id) FILTER (description IS NOT NULL) AS description, bool_or(in_stock) AS in_stock, max(quantity) AS quantity
+      arg_min(description, item_id) FILTER (description IS NOT NULL) AS description, bool_or(in_stock) AS in_stock, max(quantity)::DOUBLE AS quantity
     FROM deal_items GROUP BY source, source_id""")
 def gap_filling_merge(spark: SparkSession, d: str) -> DataFrame:
-    return merge.fill_gaps(load(spark, d, "deal_items"), ["source", "source_id"], [F.col("item_id")], ["retailer", "sku", "description"], ["in_stock"], ["quantity"])
+    return merge.fill_gaps(load(spark, d, "deal_items"), ["source", "source_id"], [F.col("item_id")], ["retailer", "sku", "description"], ["in_stock"], ["quantity"]).withColumn("quantity", F.col("quantity").cast("double"))
 
 
 @query("""
