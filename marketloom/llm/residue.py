@@ -97,7 +97,7 @@ _CODE = re.compile(r"```.*?(?:```|$)|(?m:^(?: {4}|\t).*$)", re.S)
 
 #: A placeholder is residue from this share of its sentence on (the second where it could be a plain word in
 #: brackets); filler and notices from these of the whole text.
-SENTENCE_SHARE, WEAK_SHARE, FILLER_SHARE, NOTICE_SHARE = 0.15, 0.3, 0.6, 0.6
+SENTENCE_SHARE, WEAK_SHARE, FILLER_SHARE, NOTICE_SHARE = 0.15, 0.3, 0.6, 0.8
 _WEAK = re.compile(r"\{(?!(?:brand|model|title|name|sku|seller|category|price|product|item|city|customer|store)\})[a-z]+\}")
 #: Cheap tests: no hit of a pattern is possible without these.
 _MAY_HOLD = re.compile(r"[{\[<%$#@*(]|__|NaN|undefined|null")

@@ -27,7 +27,7 @@ def page(title="Card", description="Fine card.", **more):
         (page(), False), (page(blockScript=""), False), (page(blockScript="none"), False), (page(blockScript=None), False), (page(title="{{title}}"), True), (page(description="Bad gateway"), True),
         ('{"appId":"A","blockScript":"/x/captcha.js"}', True), ('{"error":{"blockScript":"//x.js"}}', True), ('{"data":{"product":null},"message":"Bad gateway"}', True), ('{"data":{"product":null}}', False),
         ('{"status":"error","detail":"no healthy upstream"}', True), ('{"errors":[{"message":"Are you a robot? Press and hold.","code":418}]}', True),
-        ("<html><noscript>Activez JavaScript pour continuer.</noscript></html>", True), ("no healthy upstream", True), (page()[:-9], False), ("", False), ("   ", False), (None, False), ("[]", False), ("{}", False), ("[" * 200_000, False), (page(description="word " * 200_000), False),
+        ("<html><noscript>Activez JavaScript pour continuer.</noscript></html>", True), ("no healthy upstream", True), (page()[:-9], False), ("", False), ("   ", False), (None, False), ("[]", False), ("{}", False), ("[" * 200_000, False), (page(description="fine card works well " + "abcdefg hij klm nop " * 50_000), True), (page(description=" ".join(f"part{i}" for i in range(100_000))), False),
     ],
 )
 def test_pages(body, flagged):
