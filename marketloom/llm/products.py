@@ -36,8 +36,8 @@ CLASSES: dict[str, str] = {
 }
 _CLASS = {k: re.compile(v) for k, v in CLASSES.items()}
 SUFFIXES = {"pro": "pr", "max": "ma", "lite": "li", "x": "x", "s": "s"}
-_UNITS = r"(?:mb|gb|tb|g|gig|gigabytes?|terabytes?|megabytes?|mhz|hz|mt|w|watts?|kw|mah|ah|rpm|bit|mbps|gbps|mbit|gbit|in|inch|cm|ms|v|\"|slots?|ports?|year|x)"
-_MODEL = re.compile(rf"(?<![\w-])([a-z]{{4,12}})[ -]?([0-9]{{2,6}})(?![0-9.,]*[0-9])(?:[ -]?(pro|max|lite|x|s)(?![\w]))?(?![- ]?{_UNITS}\b)")
+_UNITS = r"(?:mb|gb|tb|g|gig|gigabytes?|terabytes?|megabytes?|mhz|hz|mt|w|watts?|kw|mah|ah|rpm|bit|mbps|gbps|mbit|gbit|in|inch|cm|ms|v|slots?|ports?|year|x)"
+_MODEL = re.compile(rf"(?<![\w-])([a-z]{{4,12}})[ -]?([0-9]{{2,6}})(?![0-9.,]*[0-9])(?:[ -]?(pro|max|lite|x|s)(?![\w]))?(?![- ]?(?:{_UNITS}\b|[\"″+]))")
 #: Words that stand before numbers without being a series.
 _NO_SERIES = re.compile(r"^(?:cache|router|profile|channel|supply|warranty|modular|card|adapter|screen|monitor|drive|disk|memory|watt|gigabyte|terabyte|price|year|ports?|slot|number|about|from|exit|with|model|version|chip|gen|wifi|pcie|ddr|tech)$")
 _PACKED = re.compile(r"(?<![a-z0-9])([a-z]{2})[- ]?([a-z]{3})([0-9]{3,5})(?:(pr|ma|li|x|s)[- ]?|[- ]?)([0-9]{1,5}|matx|atx|itx)(?![a-z0-9])")
@@ -170,7 +170,7 @@ def parse(title: str | None, description: str | None, sku: str | None) -> Listin
     kind = class_of(t)
     without_parts = _PACKED.sub(" ", t)
     models = _models(without_parts) or _models(t)
-    series, number, suffix = models[0][:3] if models else (None, None, "")
+    series, number, suffix = max(models, key=lambda m: len(m[1]) > 2)[:3] if models else (None, None, "")
     part = _split_part(s, number, suffix) or _split_part(t, number, suffix)
     if part is not None and series is not None and not (series[0] == part[1][0] and (sorted(series[:3]) == sorted(part[1]) or series[:2] == part[1][:2] or series[2:3] == part[1][1])):
         part = None
@@ -192,11 +192,10 @@ def parse(title: str | None, description: str | None, sku: str | None) -> Listin
 
 
 def model_key(p: Listing) -> str | None:
-    """The reliable key of a fully described product: class, series, number, suffix, capacity. A series is spelled
-    by its first letter and its other letters in order of the alphabet, so that swapped letters agree."""
+    """The reliable key of a fully described product: class, number, suffix, capacity, series."""
     if None in (p.kind, p.series, p.number, p.capacity):
         return None
-    return "|".join((p.kind, p.series[0] + "".join(sorted(p.series[1:])), p.number.lstrip("0"), p.suffix, p.capacity))
+    return "|".join((p.kind, p.number.lstrip("0"), p.suffix, p.capacity, p.series))
 
 
 _PARSED = T.StructType(
@@ -204,6 +203,9 @@ _PARSED = T.StructType(
         T.StructField("id", T.LongType()),
         T.StructField("origin", T.LongType()),
         T.StructField("model", T.LongType()),
+        T.StructField("block", T.LongType()),
+        T.StructField("series", T.StringType()),
+        T.StructField("brand", T.StringType()),
         T.StructField("kind", T.StringType()),
         T.StructField("number", T.StringType()),
         T.StructField("suffix", T.StringType()),
@@ -214,15 +216,15 @@ _PARSED = T.StructType(
 
 
 def parsed(items: DataFrame, key: Column, origin: Column) -> DataFrame:
-    """One row per listing: hash of its model key, its attributes, and hashes of its other reliable keys (GTIN,
-    part number, shop and shop number)."""
+    """One row per listing: hashes of its model key and of that without the series (block), its attributes, and
+    hashes of its other reliable keys (GTIN, part number, shop and shop number)."""
     import xxhash
 
     h = lambda *xs: xxhash.xxh64_intdigest("\x1f".join(xs)) - (1 << 63)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[] for _ in range(9)]
             for title, description, sku, shop in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
                 p = parse(title, description, sku)
                 m = model_key(p)
@@ -233,9 +235,9 @@ def parsed(items: DataFrame, key: Column, origin: Column) -> DataFrame:
                     keys.append(h("part", p.brand, (p.series or "")[:1], p.number, p.suffix, p.capacity or ""))
                 if p.shop_number and shop:
                     keys.append(h("shop", shop.strip().lower(), p.shop_number))
-                for c, v in zip(cols, (None if m is None else h("model", m), p.kind, p.number, p.suffix if p.number else None, p.capacity, keys), strict=True):
+                for c, v in zip(cols, (None if m is None else h("model", m), None if m is None else h("block", m.rpartition("|")[0]), p.series, p.brand, p.kind, p.number, p.suffix if p.number else None, p.capacity, keys), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int64())), strict=True))], names=[f.name for f in _PARSED])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), *[pa.string()] * 6, pa.list_(pa.int64())), strict=True))], names=[f.name for f in _PARSED])
 
     return items.select(key.cast("long").alias("id"), origin.alias("origin"), "title", "description", "sku", "retailer").mapInArrow(run, _PARSED)
 
@@ -265,14 +267,33 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def misspelt_models(full: DataFrame) -> DataFrame:
+    """(a, b): models of one block whose series are one slip of the keyboard apart (a letter left out or doubled
+    inside, two neighbours swapped) and whose brands agree. A letter more or less at the end makes another
+    series, as does another letter. Models are first brought to one row each, so that the join within a
+    block is over different spellings only."""
+    models = full.groupBy("block", "model", "series").agg(F.min("brand").alias("least"), F.max("brand").alias("most"))
+    a, b = (models.select("block", *(F.col(c).alias(f"{c}_{x}") for c in ("model", "series", "least", "most"))) for x in "ab")
+    p, q = F.col("series_a"), F.col("series_b")
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    one_off = (F.abs(F.length(p) - F.length(q)) == 1) & (F.levenshtein(p, q) == 1) & ~p.startswith(q) & ~q.startswith(p)
+    swapped = (F.length(p) == F.length(q)) & (F.levenshtein(p, q) == 2) & (letters(p) == letters(q))
+    brands = F.col("least_a").isNull() | F.col("least_b").isNull() | ((F.col("least_a") == F.col("most_b")) & (F.col("most_a") == F.col("least_b")))
+    return a.join(b, "block").where((F.col("model_a") < F.col("model_b")) & (F.substring(p, 1, 1) == F.substring(q, 1, 1)) & (one_off | swapped) & brands).select(F.col("model_a").alias("a"), F.col("model_b").alias("b"))
+
+
 def product_classes(listings: DataFrame) -> DataFrame:
     """(id, origin, class) of `parsed` listings that belong to a known product.
 
-    A fully described listing's class is its model. One that leaves something open joins the only model that
-    its reliable keys lead to and its own attributes agree with; those that lead to none form guarded
-    components among themselves, over listings that share a key and agree.
+    A fully described listing's class is the component of its model and its misspellings. One that leaves
+    something open joins the only class that its reliable keys lead to and its own attributes agree with;
+    those that lead to none form guarded components among themselves, over listings that share a key and agree.
     """
     full = listings.where("model is not null")
+    slips = cut_lineage(misspelt_models(full))
+    if not slips.isEmpty():
+        labels = components(slips).select(F.col("node").alias("model"), "label")
+        full = full.join(labels, "model", "left").withColumn("model", F.coalesce("label", "model")).drop("label")
     open_ = listings.where("model is null and size(keys) > 0").select("*", F.explode("keys").alias("key"))
     known = full.select("model", "kind", "number", "suffix", "capacity", F.explode("keys").alias("key")).join(open_.select("key").distinct(), "key", "left_semi").distinct()
     led = open_.alias("o").join(known.alias("f"), (F.col("o.key") == F.col("f.key")) & _agree("o", "f"))
