@@ -21,15 +21,25 @@ def running_before(rows: DataFrame, key: str, at: str, tie: str, value: str, buc
     return d.select("d.*", (F.col("_n0") + F.col("_n1")).alias("n_before"), (F.col("_s0") + F.col("_s1")).alias("sum_before"), F.least("_m0", "_m1").alias("least_before")).drop("_b", "_n1", "_s1", "_m1")
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, columns: list[str]) -> DataFrame:
-    """For each row of `left` the columns of the latest row of `right` with the key and right_at <= at; left rows
-    without one keep nulls. One shuffle of the union by (key, bucket) would lose rows of earlier buckets, so the
-    union is ordered inside the key; hot keys are split by AQE only up to one key, see `running_before` for sums."""
-    a = left.select(key, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(F.struct(*columns)).schema.fields[0].dataType).alias("_r"))
-    b = right.select(key, F.col(right_at).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema.fields[0].dataType).alias("_l"), F.struct(*columns).alias("_r"))
-    w = W.partitionBy(key).orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
-    d = a.unionByName(b).withColumn("_hit", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
-    return d.select("_l.*", *(F.col(f"_hit.{c}").alias(c) for c in columns))
+def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, columns: list[str], bucket: float = 86400) -> DataFrame:
+    """For each row of `left` the columns of the latest row of `right` with the key and right_at <= at (numbers);
+    left rows without one keep nulls, a null key meets null keys, ties on the right are settled by the columns.
+    Rows are ordered inside (key, bucket) only; the last row of the buckets before comes from one row per bucket."""
+    row_type, hit_type = left.select(F.struct(*left.columns)).schema.fields[0].dataType, right.select(F.struct(*columns)).schema.fields[0].dataType
+    a = left.select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(hit_type).alias("_r"))
+    b = right.select(F.col(key).alias("_k"), F.col(right_at).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(row_type).alias("_l"), F.struct(*columns).alias("_r"))
+    d = a.unionByName(b).withColumn("_b", F.floor(F.col("_t") / bucket))
+    inside = W.partitionBy("_k", "_b").orderBy("_t", "_side", "_r").rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumn("_here", F.last("_r", ignorenulls=True).over(inside)).where("_side = 1")
+    per = b.withColumn("_b", F.floor(F.col("_t") / bucket)).groupBy("_k", "_b").agg(F.max_by("_r", F.struct("_t", "_r")).alias("_last"))
+    # Buckets of the right carry their last row on to the buckets of the left that follow.
+    marks = per.select("_k", "_b", "_last").unionByName(d.select("_k", "_b", F.lit(None).cast(hit_type).alias("_last")).distinct())
+    marks = marks.groupBy("_k", "_b").agg(F.first("_last", ignorenulls=True).alias("_last"))
+    upto = W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    marks = marks.select(F.col("_k").alias("_k2"), F.col("_b").alias("_b2"), F.last("_last", ignorenulls=True).over(upto).alias("_before"))
+    d = d.join(marks, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_b") == F.col("_b2")))
+    hit = F.coalesce("_here", "_before")
+    return d.select("_l.*", hit.alias("_hit")).select(*left.columns, *(F.col(f"_hit.{c}").alias(c) for c in columns))
 
 
 def near_pairs(rows: DataFrame, key: list[str], bucket: str, ident: str, at: str, seconds: int) -> DataFrame:

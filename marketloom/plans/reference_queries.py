@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marketloom.functions import text, values
+from marketloom.functions import render, specs, text, values
 from marketloom.operators import asof, history, merge
 from marketloom.sources import feeds
 from marketloom.tables import load
@@ -160,12 +160,11 @@ def stale_guard(spark: SparkSession, d: str) -> DataFrame:
     FROM raw_listings, m WHERE epoch_us(received_at) >= m.t - 60 * 86400000000 AND NOT coalesce(isnan(price_num), false)""")
 def prune_and_scrub(spark: SparkSession, d: str) -> DataFrame:
     r = load(spark, d, "raw_listings")
-    top = r.agg(F.max(F.unix_micros("received_at")).alias("top"))  # one row
+    top = r.agg(F.max(F.unix_micros("received_at"))).scalar()
     day = 86_400_000_000
-    r = r.where(~F.coalesce(F.isnan("price_num"), F.lit(False))).crossJoin(F.broadcast(top))
     at = F.unix_micros("received_at")
-    r = r.where(at >= F.col("top") - 90 * day)
-    return merge.scrubbed(r, at < F.col("top") - 30 * day, ["title", "description"]).select("obs_id", "title", "description", "price_num")
+    r = r.where(~F.coalesce(F.isnan("price_num"), F.lit(False)) & (at >= top - 90 * day))
+    return merge.scrubbed(r, at < top - 30 * day, ["title", "description"]).select("obs_id", "title", "description", "price_num")
 
 
 @query("""
@@ -176,10 +175,10 @@ def gone_excluded(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT obs_id FROM raw_listings r WHERE EXISTS (SELECT 1 FROM deal_items i WHERE i.source = r.source AND i.source_id = r.source_id)""")
+    SELECT obs_id FROM raw_listings r WHERE EXISTS (SELECT 1 FROM deal_items i WHERE i.sku = r.sku AND i.query = r.query)""")
 def known_listings(spark: SparkSession, d: str) -> DataFrame:
     r, i = load(spark, d, "raw_listings"), load(spark, d, "deal_items")
-    return r.join(i.select("source", "source_id").distinct(), ["source", "source_id"], "left_semi").select("obs_id")
+    return r.join(i.select("sku", "query").distinct(), ["sku", "query"], "left_semi").select("obs_id")
 
 
 @query("""
@@ -253,15 +252,14 @@ def asof_history(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    WITH p AS (SELECT source, source_id, epoch_us(received_at) AS t, obs_id, price_num FROM raw_listings),
-    u AS (SELECT source, source_id, epoch_us(received_at) AS t, 1 AS side, item_id, NULL::DOUBLE AS price, NULL::BIGINT AS obs FROM deal_items UNION ALL SELECT source, source_id, t, 0, NULL, price_num, obs_id FROM p)
-    SELECT item_id, obs AS obs_id FROM (SELECT side, item_id, last_value(obs IGNORE NULLS) OVER (PARTITION BY source, source_id ORDER BY t, side, obs ROWS UNBOUNDED PRECEDING) AS obs FROM u) WHERE side = 1""")
+    WITH u AS (SELECT query, epoch_us(received_at) AS t, 1 AS side, item_id, NULL::BIGINT AS obs FROM deal_items WHERE query IS NOT NULL
+      UNION ALL SELECT query, epoch_us(received_at), 0, NULL, obs_id FROM raw_listings WHERE query IS NOT NULL)
+    SELECT item_id, obs::DOUBLE AS obs_id FROM (SELECT side, item_id, last_value(obs IGNORE NULLS) OVER (PARTITION BY query ORDER BY t, side, obs ROWS UNBOUNDED PRECEDING) AS obs FROM u) WHERE side = 1""")
 def asof_observation(spark: SparkSession, d: str) -> DataFrame:
-    # Rows at one instant are ordered by obs_id, so the right side is first brought to one row per instant.
-    r = load(spark, d, "raw_listings").groupBy("source", "source_id", F.unix_micros("received_at").alias("t")).agg(F.max("obs_id").alias("obs_id"))
-    i = load(spark, d, "deal_items").select("item_id", values.listing_key(F.col("source"), F.col("source_id")).alias("l"), F.unix_micros("received_at").alias("at"))
-    r = r.select(values.listing_key(F.col("source"), F.col("source_id")).alias("l"), "t", "obs_id")
-    return asof.asof_join(i, r, "l", "at", "t", ["obs_id"]).select("item_id", "obs_id")
+    """For every deal the latest observation of its query by then."""
+    r = load(spark, d, "raw_listings").where("query is not null").select("query", F.unix_micros("received_at").alias("t"), "obs_id")
+    i = load(spark, d, "deal_items").where("query is not null").select("item_id", "query", F.unix_micros("received_at").alias("at"))
+    return asof.asof_join(i, r, "query", "at", "t", ["obs_id"], 86_400_000_000).select("item_id", F.col("obs_id").cast("double").alias("obs_id"))
 
 
 @query("""
@@ -415,8 +413,47 @@ def rollup_sales(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    (SELECT source, source_id FROM raw_listings INTERSECT SELECT source, source_id FROM deal_items) UNION (SELECT source, source_id FROM raw_listings WHERE in_stock = false EXCEPT SELECT source, source_id FROM deal_items)""")
+    (SELECT query, retailer FROM raw_listings INTERSECT SELECT query, retailer FROM deal_items) UNION (SELECT query, retailer FROM raw_listings WHERE in_stock = false EXCEPT SELECT query, retailer FROM deal_items)""")
 def set_operations(spark: SparkSession, d: str) -> DataFrame:
-    r, i = (load(spark, d, t).select("source", "source_id", "in_stock") for t in ("raw_listings", "deal_items"))
-    keys = lambda x: x.select("source", "source_id")
-    return keys(r).intersect(keys(i)).union(keys(r.where("in_stock = false")).exceptAll(keys(i)).distinct()).distinct()
+    r, i = (load(spark, d, t).select("query", "retailer", "in_stock") for t in ("raw_listings", "deal_items"))
+    keys = lambda x: x.select("query", "retailer")
+    return keys(r).intersect(keys(i)).union(keys(r.where("in_stock = false")).subtract(keys(i))).distinct()
+
+
+@query("""
+    SELECT item_id, list_max(list_filter(list_transform(regexp_extract_all(lower(title), '\\b([0-9]{1,3}) ?gb?\\b', 1), lambda x: x::INTEGER), lambda x: x BETWEEN 1 AND 512))::DOUBLE AS memory_gb,
+      list_max(list_filter(list_transform(regexp_extract_all(lower(title), '\\b([0-9]{2,4}) ?hz\\b', 1), lambda x: x::INTEGER), lambda x: x BETWEEN 24 AND 1000))::DOUBLE AS refresh_hz,
+      nullif(regexp_extract(lower(title), '\\b(qd-oled|oled|ips|va|tn|mini-?led)\\b', 1), '') AS panel
+    FROM deal_items""")
+def title_specs(spark: SparkSession, d: str) -> DataFrame:
+    s = specs.specs(F.col("title"))
+    return load(spark, d, "deal_items").select("item_id", *(s[c].cast("double").alias(c) for c in ("memory_gb", "refresh_hz")), s["panel"].alias("panel"))
+
+
+@query(f"""
+    WITH x AS (SELECT source, (epoch_us(received_at) - epoch_us(posted_at)) / 1e6 AS lag FROM raw_listings WHERE posted_at IS NOT NULL AND received_at >= posted_at),
+    e AS (SELECT i, edge FROM (VALUES {", ".join(f"({k}, {e})" for k, e in enumerate(_EDGES))}) v(i, edge)),
+    c AS (SELECT source, i, edge, count(*) FILTER (lag <= edge) AS u, count(*) AS n FROM x, e GROUP BY ALL),
+    k AS (SELECT source, n, count(*) FILTER (u < 0.95 * n) AS k FROM c GROUP BY ALL)
+    SELECT k.source, round(CASE WHEN k.k >= {len(_EDGES)} THEN {_EDGES[-1]} ELSE coalesce(a.edge, 0) + (b.edge - coalesce(a.edge, 0)) * (0.95 * k.n - coalesce(a.u, 0)) / greatest(b.u - coalesce(a.u, 0), 1) END, 3) AS p95
+    FROM k LEFT JOIN c a ON a.source = k.source AND a.i = k.k - 1 LEFT JOIN c b ON b.source = k.source AND b.i = k.k""")
+def latency_quantile(spark: SparkSession, d: str) -> DataFrame:
+    r = load(spark, d, "raw_listings").where("posted_at is not null and received_at >= posted_at").select("source", ((F.unix_micros("received_at") - F.unix_micros("posted_at")) / 1e6).alias("lag"))
+    h = r.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.count_if(F.col("lag") <= e) for e in _EDGES)).alias("upto"))
+    return h.select("source", F.round(specs.histogram_quantile(F.array(*(F.lit(e) for e in _EDGES)), F.col("upto"), F.col("n"), 0.95), 3).alias("p95"))
+
+
+@query()
+def listing_messages(spark: SparkSession, d: str) -> DataFrame:
+    i = load(spark, d, "deal_items")
+    facts = [(3, F.format_string("%s %.2f", "currency", "total_price")), (2, F.col("item_condition")), (1, F.col("description"))]
+    return i.select("item_id", render.html_message(F.col("title"), F.col("url"), facts, 500).alias("message"), render.embed(F.col("title"), F.col("url"), F.col("description"), {"Price": F.col("total_price"), "Condition": F.col("item_condition"), "Store": F.col("retailer")}).alias("payload"))
+
+
+@query("""
+    WITH v AS (SELECT user_id, event_type, count(*) AS n, max(value) AS top FROM events GROUP BY ALL)
+    SELECT user_id, CASE WHEN max(top) FILTER (event_type = 'error') >= 50 THEN 'error' WHEN bool_or(event_type = 'purchase') THEN 'purchase' WHEN bool_or(event_type = 'click') THEN 'click' ELSE 'other' END AS verdict FROM v GROUP BY user_id""")
+def verdict_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    # Several answers to one verdict: a strong negative wins, else the best positive kind.
+    e = load(spark, d, "events").groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "error", F.col("value"))).alias("strongest"), *(F.bool_or(F.col("event_type") == k).alias(k) for k in ("purchase", "click")))
+    return e.select("user_id", F.when(F.col("strongest") >= 50, "error").when(F.col("purchase"), "purchase").when(F.col("click"), "click").otherwise("other").alias("verdict"))
