@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.tables import spread
+
 _SPACE = re.compile(r"[ \t\n\r]*").match
 _NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?").match
 _WORDS = {"t": ("true", "true"), "f": ("false", "false"), "n": ("null", None)}
@@ -225,7 +227,7 @@ def _links(pages: DataFrame, links) -> DataFrame:
                     continue
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([_text(x) for x in c], pa.string()) for c in (parents, kinds, keys))], names=["page_id", "parent_key", "child_kind", "child_key"])
 
-    return pages.where("body is not null and page_id is not null").select("page_id", "body").mapInArrow(cut, _SCHEMA)
+    return spread(pages.where("body is not null and page_id is not null").select("page_id", "body")).mapInArrow(cut, _SCHEMA)
 
 
 def _text(s: str) -> str:

@@ -17,6 +17,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast(T.TimestampType()) for c in ntz}) if ntz else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt out over all cores when it lies in fewer partitions than there are, as a single small file does:
+    work in Python would otherwise keep most of them idle. Larger inputs are left as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared folder; only where none is named (tests) fall back to an own folder."""
     sc = spark.sparkContext
