@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketloom.tables import spread
+
 #: Masks of a span of 12 words or less; different positions are open in each.
 MASKS = ("110110101101", "101101111011")
 RUN = 12
@@ -169,7 +171,7 @@ def leaked(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item
     sc = documents.sparkSession.sparkContext
     kind = documents.schema[doc_key].dataType
     schema = T.StructType([T.StructField(doc_key, kind), T.StructField(item_key, T.LongType()), *([T.StructField(c, T.LongType()) for c in ("span_words", "equal_words")] if tolerant else [])])
-    docs = documents.select(doc_key, text).where(F.col(text).isNotNull())
+    docs = spread(documents.select(doc_key, text).where(F.col(text).isNotNull()))
     parts = []
     for block in _blocks(items, item_key, text, block_chars):
         shared = sc.broadcast(build_index(block))

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketloom.tables import spread
+
 K, LEAST_WORDS, LIKENESS = 3, 40, 0.6
 BANDS, BITS = 32, 64
 #: Within this distance the order of two k-mers is part of a sketch.
@@ -190,7 +192,7 @@ def features(items: DataFrame, key: Column, origin: Column, texts: Column, bands
                     names=[f.name for f in _FEATURES],
                 )
 
-    return items.select(key.cast("long").alias("id"), origin.alias("origin"), texts.alias("text")).where("text is not null").mapInArrow(run, _FEATURES)
+    return spread(items.select(key.cast("long").alias("id"), origin.alias("origin"), texts.alias("text")).where("text is not null")).mapInArrow(run, _FEATURES)
 
 
 def similar_nodes(f: DataFrame, likeness: float = LIKENESS, max_different: int = MAX_DIFFERENT) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.tables import cut_lineage
+from marketloom.tables import cut_lineage, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Texts per lot, on average, and containers per step group.
@@ -59,7 +59,7 @@ def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text",
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=[key, "n_tokens"])
 
-    return documents.select(key, text).mapInArrow(count, T.StructType([T.StructField(key, kind), T.StructField("n_tokens", T.LongType())]))
+    return spread(documents.select(key, text)).mapInArrow(count, T.StructType([T.StructField(key, kind), T.StructField("n_tokens", T.LongType())]))
 
 
 class Placed(NamedTuple):

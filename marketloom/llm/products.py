@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.tables import cut_lineage
+from marketloom.tables import cut_lineage, spread
 
 # Words of product classes, and the class's suffix codes in part numbers.
 CLASSES: dict[str, str] = {
@@ -239,7 +239,7 @@ def parsed(items: DataFrame, key: Column, origin: Column) -> DataFrame:
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), *[pa.string()] * 6, pa.list_(pa.int64())), strict=True))], names=[f.name for f in _PARSED])
 
-    return items.select(key.cast("long").alias("id"), origin.alias("origin"), "title", "description", "sku", "retailer").mapInArrow(run, _PARSED)
+    return spread(items.select(key.cast("long").alias("id"), origin.alias("origin"), "title", "description", "sku", "retailer")).mapInArrow(run, _PARSED)
 
 
 def _agree(a: str, b: str) -> Column:

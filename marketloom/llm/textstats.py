@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.tables import spread
+
 CHUNK, FAN_IN = 1 << 20, 32
 #: A line is judged in pieces of at most so many characters, cut at white space; a longer word counts as several.
 PIECE = 2000
@@ -235,7 +237,7 @@ def document_counts(documents: DataFrame, common_words: DataFrame, key: str = "d
         c = finish(fold(t), vocabulary)
         return pa.table({"key": t.column("key").combine_chunks()[:1], **{f: pa.array([v], pa.int64()) for f, v in zip(Counts._fields, c, strict=True)}})
 
-    small = d.where(F.length("text") <= chunk).mapInArrow(whole, schema)
+    small = spread(d.where(F.length("text") <= chunk)).mapInArrow(whole, schema)
     part = f"key {kind}, doc long, at long, head string, tail string, {_COUNTS}"
     huge = d.where(F.length("text") > chunk).withColumn("doc", F.monotonically_increasing_id())
     huge = huge.select("key", "doc", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.length("text") - 1) / chunk))).alias("at"), "text")
