@@ -23,8 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.tables import spread
-
 # Names of months and weekdays.
 MONTHS = {m: i + 1 for i, m in enumerate(("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"))}
 _MONTH = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
@@ -269,7 +267,6 @@ def instants(items: DataFrame, collectors: DataFrame, text: str = "posted_at", r
     """
     d = items.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(received).cast("timestamp").alias("received"), "node_id")
     d = d.where(F.col("text").isNotNull() & ~F.col("text").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$"))
-    d = spread(d)
     nodes = collectors.select("node_id", "home_zone", "date_order")
     d = d.join(nodes, "node_id", "left")
     d = d.where(~(F.col("received").isNull() & F.lower("text").like("%ago%")))

@@ -22,8 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.tables import spread
-
 
 class Root(NamedTuple):
     dimension: str
@@ -308,7 +306,6 @@ def money_in_cents(listings: DataFrame, rates: DataFrame) -> DataFrame:
     d = d.withColumns({"cur": F.when(column != "", column), "small": small})
     plain = F.coalesce(F.col("cur") == "USD", F.lit(False)) & ~F.col("small")
     d = d.where(F.col("price_raw").isNotNull() | F.col("shipping_raw").isNotNull() | (~plain & (F.col("price_num").isNotNull() | F.col("shipping_num").isNotNull())))
-    d = spread(d)
     for f in ("price", "shipping"):
         text = F.translate(F.col(f"{f}_raw"), _WIDE, _NARROW)
         d = d.withColumns({f"{f}_runs": F.when(text.isNotNull(), F.regexp_extract_all(text, F.lit(_NUMBER), F.lit(0))), f"{f}_shape": F.regexp_replace(text, _NUMBER, "#")})
