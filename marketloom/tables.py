@@ -17,11 +17,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast(T.TimestampType()) for c in ntz}) if ntz else df
 
 
+#: Input of less than so many estimated bytes a core is dealt out anew before work in Python.
+SMALL = 1 << 19
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """`df` dealt out over all cores when it lies in fewer partitions than there are, as a single small file does:
-    work in Python would otherwise keep most of them idle. Larger inputs are left as they lie."""
+    """`df` dealt out over all cores when it is small, as a single file of a few megabytes is: work in Python would
+    otherwise keep most of them idle. Larger inputs are left as they lie. Goes by the planner's estimate, which
+    for scans is the files' size, and runs nothing."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
