@@ -18,7 +18,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Input of less than so many estimated bytes a core is dealt out anew before work in Python.
-SMALL = 1 << 19
+SMALL = 1 << 17
 
 
 def spread(df: DataFrame) -> DataFrame:
