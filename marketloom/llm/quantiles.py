@@ -7,7 +7,8 @@ side without the answer is discarded; a range with few rows left is settled by s
 move; what is shuffled is a few numbers per task, group and percentile.
 
 `part_summaries` makes a small summary of every part (such as a day) with a known rank error; summaries of
-any parts can be kept and combined later by `combine`, whose error is the sum of what was merged.
+any parts can be kept and combined later by `combine`. Errors relative to the rows don't grow by merging, only by
+thinning; summaries are merged in trees and each thinning spends a share of what is left under a bound of 0.1 %.
 """
 
 from __future__ import annotations
@@ -101,26 +102,79 @@ def select_percentiles(rows: DataFrame, group: str, value: str, percentiles: tup
     return out.select(F.col("g").alias(group), F.col("p").alias("percentile"), "n", found.alias("value"), F.lit(0).cast("long").alias("rank_error"))
 
 
-#: A summary keeps at most so many values per part; each stands for the ranks up to it.
-POINTS = 256
+#: A percentile from summaries is at most this share of the group's rows away from its rank, however many batches,
+#: parts and merges there were.
+BOUND = 0.001
+#: Each thinning may spend this share of the error that is left under the bound.
+SPEND = 0.25
+#: A task gathers so many rows before it summarises them, and a merge so many points before it thins them.
+GATHER, HELD = 500_000, 32_768
+#: Summaries are merged so many at a time or more, in a tree.
+FAN = 16
 
 
-def _compress(values: np.ndarray, weights: np.ndarray, err: int, points: int = POINTS) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted values with weights, thinned to `points`; the rank error grows by the largest weight merged away."""
+def _compress(values: np.ndarray, weights: np.ndarray, err: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted distinct values with weights, thinned. A kept value stands also for the values dropped below it, so
+    that the rows up to any x are undercounted by `err` at most. Error is spent only from what `BOUND` leaves and
+    only where it at least halves the values, so that few rows are kept whole."""
     order = np.argsort(values, kind="stable")
-    v, w = values[order], weights[order]
-    if len(v) <= points:
-        return v, w, err
-    upto = np.cumsum(w)
-    step = -(-int(upto[-1]) // points)
-    last = np.append(np.nonzero(np.diff((upto - 1) // step))[0], len(v) - 1)
-    w2 = np.diff(np.concatenate([[0], upto[last]]))
-    return v[last], w2, err + int(w2.max() - 1)
+    v = values[order]
+    last = np.append(np.nonzero(v[1:] != v[:-1])[0], len(v) - 1)
+    v, upto = v[last], np.cumsum(weights[order])[last]
+    n = int(upto[-1])
+    add = int((2 * BOUND * n - err) * SPEND)  # undercounts are halved where percentiles are read
+    if add > 0 and len(v) > 2 * n / add:
+        kept, j, top = [], -1, len(v) - 1
+        while j < top:
+            j = min(max(int(np.searchsorted(upto, (upto[j] if j >= 0 else 0) + add, side="right")), j + 1), top)
+            kept.append(j)
+        below = np.append(0, upto[kept][:-1])
+        before = np.append(0, upto)[kept]
+        v, upto, err = v[kept], upto[kept], err + int(np.max(before - below))
+    return v, np.diff(upto, prepend=0), err
 
 
 _SUMMARY = [T.StructField("n", T.LongType()), T.StructField("rank_error", T.LongType()), T.StructField("points", T.ArrayType(T.DoubleType())), T.StructField("weights", T.ArrayType(T.LongType()))]
 
 
+def _lists(a: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, a)]), pa.int32()), pa.array(np.concatenate(a) if a else [], kind))
+
+
+def _arrays(a: pa.ListArray) -> list[np.ndarray]:
+    flat, at = a.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *a.value_lengths().to_pylist()])
+    return [flat[i:j] for i, j in zip(at, at[1:])]
+
+
+class _Tree:
+    """Summaries of one key merged in a balanced tree, so that a value is thinned a logarithmic number of times;
+    a few summaries of each level are held at a time however many come."""
+
+    def __init__(self) -> None:
+        self.n, self.levels = 0, []
+
+    def add(self, n: int, err: int, v: np.ndarray, w: np.ndarray, level: int = 0) -> None:
+        self.n += n
+        while True:
+            if level == len(self.levels):
+                self.levels.append([])
+            held = self.levels[level]
+            held.append((v, w, err))
+            if len(held) < FAN or sum(len(a) for a, *_ in held) <= HELD:
+                return
+            v, w, err = _together(held)
+            self.levels[level] = []
+            level += 1
+
+    def settled(self) -> tuple[np.ndarray, np.ndarray, int]:
+        held = [x for level in self.levels for x in level]
+        return held[0] if len(held) == 1 else _together(held)
+
+
+def _together(held: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, int]:
+    return _compress(np.concatenate([v for v, *_ in held]), np.concatenate([w for _, w, _ in held]), sum(e for *_, e in held))
+
+
 def _merged(summaries: DataFrame, keys: list[str]) -> DataFrame:
     """One summary per key: summaries are brought together by key and merged as they stream by, so that a task
     holds a few of them at a time however many a key has."""
@@ -128,38 +182,32 @@ def _merged(summaries: DataFrame, keys: list[str]) -> DataFrame:
     schema = T.StructType([*(s.schema[k] for k in keys), *_SUMMARY])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, n, err = None, [], 0, 0
+        now, tree = None, None
         out: list[tuple] = []
-
-        def settled() -> tuple[np.ndarray, np.ndarray, int]:
-            return _compress(np.concatenate([v for v, _ in held]), np.concatenate([w for _, w in held]), err)
+        size = 0
 
         def emit() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) if out else [[] for _ in schema]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=schema.names)
+            *ks, n, e, v, w = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([*(pa.array(list(c), t) for c, t in zip(ks, types, strict=True)), pa.array(n, pa.int64()), pa.array(e, pa.int64()), _lists(v, pa.float64()), _lists(w, pa.int64())], names=schema.names)
 
         types: list[pa.DataType] = []
         for b in batches:
-            types = [b.schema.field(k).type for k in keys] + [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64())]
-            for *key, rn, re_, v, w in zip(*(b.column(k).to_pylist() for k in range(b.num_columns)), strict=True):
+            types = [b.schema.field(k).type for k in keys]
+            m = len(keys)
+            for *key, rn, re_, v, w in zip(*(b.column(k).to_pylist() for k in range(m + 2)), _arrays(b.column(m + 2)), _arrays(b.column(m + 3)), strict=True):
                 if key != now:
-                    if held:
-                        a, c, e = settled()
-                        out.append((*now, n, e, a.tolist(), c.tolist()))
-                    now, held, n, err = key, [], 0, 0
-                held.append((np.asarray(v, float), np.asarray(w, np.int64)))
-                n += rn
-                err += re_
-                if sum(len(a) for a, _ in held) > 16 * POINTS:
-                    a, c, err = settled()
-                    held = [(a, c)]
-            if len(out) >= 1000:
-                yield emit()
-                out = []
-        if held:
-            a, c, e = settled()
-            out.append((*now, n, e, a.tolist(), c.tolist()))
-        if out:
+                    if tree:
+                        v2, w2, e = tree.settled()
+                        out.append((*now, tree.n, e, v2, w2))
+                        size += len(v2) + 1
+                    now, tree = key, _Tree()
+                    if size >= GATHER:
+                        yield emit()
+                        out, size = [], 0
+                tree.add(rn, re_, v, w)
+        if tree:
+            v2, w2, e = tree.settled()
+            out.append((*now, tree.n, e, v2, w2))
             yield emit()
 
     return s.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
@@ -167,21 +215,28 @@ def _merged(summaries: DataFrame, keys: list[str]) -> DataFrame:
 
 def part_summaries(rows: DataFrame, group: str, value: str, part: str) -> DataFrame:
     """(group, part, n, rank_error, points, weights): one summary per group and part, merged from summaries of
-    batches, so that rows don't move. Nulls, NaN and empty tables as in `select_percentiles`."""
+    what a task reads, so that rows don't move. Counting weights up to a value gives the rows up to it or at most
+    rank_error fewer. Nulls, NaN and empty tables as in `select_percentiles`."""
     v = F.col(value).cast("double")
     d = rows.select(F.col(group).alias("g"), F.col(part).alias("part"), v.alias("v")).where(v.isNotNull() & ~F.isnan(v))
     schema = T.StructType([*(T.StructField(a, d.schema[a].dataType) for a in ("g", "part")), *_SUMMARY])
 
+    def summarised(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        gp = pa.Table.from_batches(held).rename_columns(["g", "part", "v"]).group_by(["g", "part"]).aggregate([("v", "list")]).combine_chunks()
+        made = [_compress(x, np.ones(len(x), np.int64), 0) for c in gp.column("v_list").chunks for x in _arrays(c)]
+        key = [pa.concat_arrays(gp.column(c).chunks) for c in ("g", "part")]
+        return pa.RecordBatch.from_arrays([*key, pa.array([int(w.sum()) for _, w, _ in made], pa.int64()), pa.array([e for *_, e in made], pa.int64()), _lists([x for x, *_ in made], pa.float64()), _lists([w for _, w, _ in made], pa.int64())], names=["g", "part", "n", "rank_error", "points", "weights"])
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            gp = pa.table({"g": b.column(0), "part": b.column(1), "v": b.column(2)}).group_by(["g", "part"]).aggregate([("v", "list")])
-            if not gp.num_rows:
-                continue
-            made = [_compress(np.asarray(x, float), np.ones(len(x), np.int64), 0) for x in gp.column("v_list").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [gp.column("g").combine_chunks(), gp.column("part").combine_chunks(), pa.array([int(w.sum()) for _, w, _ in made], pa.int64()), pa.array([e for *_, e in made], pa.int64()), pa.array([x.tolist() for x, _, _ in made], pa.list_(pa.float64())), pa.array([w.tolist() for _, w, _ in made], pa.list_(pa.int64()))],
-                names=["g", "part", "n", "rank_error", "points", "weights"],
-            )
+            if b.num_rows:
+                held.append(b)
+            if sum(x.num_rows for x in held) >= GATHER:
+                yield summarised(held)
+                held = []
+        if held:
+            yield summarised(held)
 
     s = d.mapInArrow(local, schema)
     s = _merged(s, ["g", "part"])
@@ -190,11 +245,21 @@ def part_summaries(rows: DataFrame, group: str, value: str, part: str) -> DataFr
 
 def combine(summaries: DataFrame, group: str, percentiles: tuple[int, ...] = PERCENTILES) -> DataFrame:
     """(group, percentile, n, value, rank_error) from summaries of any parts of the same groups: the value's
-    rank is at most rank_error away from the percentile's."""
+    rank is at most rank_error away from the percentile's, and rank_error at most `BOUND` of n, rounded up."""
     s = summaries.select(F.col(group).alias("g"), "n", "rank_error", "points", "weights", F.pmod(F.xxhash64("points"), F.lit(16)).alias("lot"))
     s = _merged(_merged(s, ["g", "lot"]), ["g"])
-    ps = F.array(*(F.lit(p) for p in percentiles))
-    s = s.select("g", "n", "rank_error", "points", F.expr("transform(sequence(1, size(weights)), i -> aggregate(slice(weights, 1, i), 0L, (a, x) -> a + x))").alias("upto"), F.explode(ps).alias("percentile"))
-    k = F.greatest(F.floor((F.col("n") * F.col("percentile") + 99) / 100), F.lit(1))
-    value = F.get("points", F.size(F.filter("upto", lambda x: x < k)))
-    return s.select(F.col("g").alias(group), "percentile", "n", value.alias("value"), "rank_error")
+    schema = T.StructType([s.schema["g"], T.StructField("percentile", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("value", T.DoubleType()), T.StructField("rank_error", T.LongType())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for g, n, err, v, w in zip(*(b.column(k).to_pylist() for k in range(3)), _arrays(b.column(3)), _arrays(b.column(4)), strict=True):
+                upto = np.cumsum(w) + err // 2  # the middle of what the true count can be
+                for p in percentiles:
+                    k = max((n * p + 99) // 100, 1)
+                    out.append((g, p, n, float(v[np.searchsorted(upto, k)]), err - err // 2))
+            cols = zip(*out, strict=True) if out else [[] for _ in schema]
+            types = (b.schema.field(0).type, pa.int32(), pa.int64(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=schema.names)
+
+    return s.mapInArrow(read, schema).withColumnRenamed("g", group)

@@ -1,5 +1,7 @@
+import bisect
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -120,3 +122,33 @@ def test_percentiles(spark):
         lo, hi = (max(0, k - 1 - x.rank_error), min(len(vs) - 1, k - 1 + x.rank_error))
         assert x.n == len(vs) and vs[lo] <= x.value <= vs[hi]
     assert quantiles.select_percentiles(df.limit(0), "query", "total_price").count() == 0
+
+
+def test_combined_stays_within_the_bound_over_hundreds_of_batches(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
+    try:
+        rows = spark.range(0, 480_000, 1, 16).select(F.lit("hot").alias("query"), (F.xxhash64("id") / 1e12).alias("total_price"), (F.col("id") % 2).alias("day"))
+        vs = sorted(x.total_price for x in rows.collect())
+        out = quantiles.combine(quantiles.part_summaries(rows, "query", "total_price", "day"), "query").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {x.percentile for x in out} == set(quantiles.PERCENTILES)
+    for x in out:
+        k = max(1, (len(vs) * x.percentile + 99) // 100)
+        off = abs(bisect.bisect_left(vs, x.value) + 1 - k)
+        assert x.n == len(vs) and off <= x.rank_error <= 0.001 * x.n
+
+
+def test_tree_of_many_summaries_keeps_the_bound():
+    r = np.random.default_rng(5)
+    tree, every = quantiles._Tree(), []
+    for _ in range(3000):
+        v = r.normal(size=2000)
+        every.append(v)
+        a, w, e = quantiles._compress(v, np.ones(len(v), np.int64), 0)
+        tree.add(len(v), e, a, w)
+    v, w, err = tree.settled()
+    vs = np.sort(np.concatenate(every))
+    under = np.searchsorted(vs, v, side="right") - np.cumsum(w)
+    assert tree.n == len(vs) == w.sum() and 0 <= under.min() and under.max() <= err <= 0.002 * len(vs) and len(v) < 20_000
