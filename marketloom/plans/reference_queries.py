@@ -236,9 +236,10 @@ def history_stats(spark: SparkSession, d: str) -> DataFrame:
         WHERE query IS NOT NULL AND total_price IS NOT NULL AND NOT isnan(total_price) QUALIFY row_number() OVER (PARTITION BY source, source_id ORDER BY received_at DESC, item_id DESC) = 1)
     SELECT query, item_condition, l AS listing_key, total_price, item_id FROM a QUALIFY row_number() OVER (PARTITION BY query, item_condition ORDER BY received_at DESC, item_id) <= 25""")
 def warm_start_history(spark: SparkSession, d: str) -> DataFrame:
+    """The newest `history.CAP` listings per key. The SQL keeps 25, so the two agree only where no key has more."""
     i = load(spark, d, "deal_items").where(F.col("query").isNotNull() & F.col("total_price").isNotNull() & ~F.isnan("total_price"))
     a = history.newest_per(i, ["source", "source_id"], [F.col("received_at").desc(), F.col("item_id").desc()])
-    a = history.capped(a, ["query", "item_condition"], [F.col("received_at").desc(), F.col("item_id")], 25)
+    a = history.capped(a, ["query", "item_condition"], [F.col("received_at").desc(), F.col("item_id")])
     return a.select("query", "item_condition", values.listing_key(F.col("source"), F.col("source_id")).alias("listing_key"), "total_price", "item_id")
 
 
