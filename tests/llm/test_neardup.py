@@ -40,6 +40,19 @@ def test_against_brute_force(spark):
     assert got <= brute(rows) and brute(rows, 0.7) <= got and len(got) >= 0.9 * len(brute(rows)) > 50
 
 
+def test_pasted_several_times(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(60):
+        base = [f"t{i}w{r.randrange(1000)}" for _ in range(80)]
+        copies = base * 3
+        for _ in range(2):
+            copies[r.randrange(len(copies))] = "edited"
+        rows += [(2 * i, "a", str(i), "x", " ".join(base), ""), (2 * i + 1, "b", str(i), "x", " ".join(copies), "")]
+    want = brute(rows, 0.7)
+    assert len(want) == 60 and {tuple(x) for x in neardup.near_duplicate_pairs(spark.createDataFrame(rows, S)).collect()} == want
+
+
 def test_edges(spark):
     long = " ".join(f"word{i}" for i in range(20_000))
     rows = [(1, "a", "1", long, None, ""), (2, "b", None, long, "", ""), (3, "b", None, long, "", ""), (4, "a", "1", long, None, ""), (5, "c", "1", "short", "text", ""), (6, "d", "1", None, None, ""), (None, "e", "1", long, None, "")]
