@@ -193,17 +193,21 @@ def _walled(o) -> bool:
     return isinstance(script, str) and script.strip().lower() not in _NOTHING
 
 
-def _said(o, depth: int = 0) -> Iterator[str]:
-    if isinstance(o, str):
-        yield o
-    elif isinstance(o, dict) and depth < 4:
-        for k, v in o.items():
-            if depth == 0 and k not in _SAYS:
-                continue
-            yield from _said(v, depth + 1)
-    elif isinstance(o, list) and depth < 4:
-        for x in o:
-            yield from _said(x, depth + 1)
+def _within(o) -> Iterator[tuple]:
+    """All values of a page, itself included, however deep, and whether they lie below a name of messages."""
+    todo = [(o, False)]
+    while todo:
+        x, says = todo.pop()
+        yield x, says
+        if isinstance(x, dict):
+            todo += ((v, says or k in _SAYS) for k, v in x.items())
+        elif isinstance(x, list):
+            todo += ((v, says) for v in x)
+
+
+def _notice_in(s: str, says: bool) -> bool:
+    """Whether a text holds a notice; a bare number is one only in a message, as elsewhere it can be an id or a price."""
+    return any(says or any(c.isalpha() for c in m.group()) for m in _NOTICE.finditer(s))
 
 
 def products_of(page: dict) -> list[dict]:
@@ -244,9 +248,9 @@ def page_kind(body: str | None) -> str | None:
         return None
     products = products_of(page)
     if not products:
-        if any(_walled(o) for o in (page, page.get("error"), page.get("data")) if isinstance(o, dict)):
+        if any(_walled(o) for o, _ in _within(page) if isinstance(o, dict)):
             return "wall"
-        if any(_NOTICE.search(s) for s in _said(page)) or page.get("status") == "error" or page.get("errors"):
+        if any(_notice_in(s, says) for s, says in _within(page) if isinstance(s, str)) or page.get("status") == "error" or page.get("errors"):
             return "notice"
         return None
     if _walled(page):

@@ -34,6 +34,17 @@ def test_pages(body, flagged):
     assert (residue.page_kind(body) is not None) == flagged
 
 
+@pytest.mark.parametrize(
+    ("body", "kind"),
+    [
+        ('{"response":{"message":"Please enable JavaScript"}}', "notice"), ('{"a":[{"b":{"c":{"d":{"e":{"f":["Are you a robot?"]}}}}}]}', "notice"), ('{"fault":{"blockScript":"/x.js"}}', "wall"), ('{"a":{"b":[{"c":{"blockScript":"/x.js"}}]}}', "wall"),
+        ('{"data":{"product":null},"request":"id 512","price":"499"}', None), ('{"fault":{"blockScript":"none"}}', None), ('{"data":{"product":null},"message":"404"}', "notice"), ('{"a":' * 800 + '"Bad gateway"' + "}" * 800, "notice"),
+    ],
+)
+def test_wrapped_notices(body, kind):
+    assert residue.page_kind(body) == kind
+
+
 def test_operator(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "Bad gateway", "b"), (2, "Bad gateway", "b"), (3, page(), "c")], "page_id long, body string, residue_kind string")
     assert sorted(r.page_id for r in residue.residue_pages(df).collect()) == [2, 2]
