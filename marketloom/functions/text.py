@@ -46,12 +46,14 @@ def truncate(c: Column, most: int) -> Column:
     return F.when(F.length(c) <= most, c).otherwise(F.when(back != "", F.rtrim(back)).otherwise(head))
 
 
-def clean_text(c: Column, most: int = 2000, keep_newlines: bool = False) -> Column:
+def clean_text(c: Column, most: int | None = None, keep_newlines: bool = False) -> Column:
     """Markup out, entities resolved, invisible characters out, quotes and dashes folded, white space squeezed.
-    Input beyond 8 * `most` characters isn't looked at, which bounds the work on hostile texts."""
-    c = strip_markup(F.substring(c, 1, 8 * most))
+    Nothing is cut without `most`; with it, input beyond 8 * `most` characters isn't looked at, which bounds the
+    work on hostile texts."""
+    c = strip_markup(c if most is None else F.substring(c, 1, 8 * most))
     c = F.when(c.rlike("[&\\x{80}-\\x{10ffff}]"), unescape(c)).otherwise(c)
-    return truncate(squeeze(strip_markup(c), keep_newlines), most)
+    c = squeeze(strip_markup(c), keep_newlines)
+    return c if most is None else truncate(c, most)
 
 
 def canonical_url(u: Column) -> Column:

@@ -18,6 +18,12 @@ def test_clean(spark, raw, want):
     assert one(spark, text.clean_text, raw) == want
 
 
+def test_clean_cuts_nothing_by_default(spark):
+    raw = "<b>word</b> &amp; " * 3000
+    assert one(spark, text.clean_text, raw) == ("word & " * 3000).strip()
+    assert len(one(spark, lambda c: text.clean_text(c, 300), raw)) <= 300
+
+
 def test_truncate_and_hostile(spark):
     assert one(spark, lambda c: text.truncate(c, 10), "abcdefgh ijk") == "abcdefgh"
     assert one(spark, lambda c: text.truncate(c, 10), "abcdefghijkl") == "abcdefghij"
