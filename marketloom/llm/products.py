@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketloom.llm.components import components
 from marketloom.tables import cut_lineage, spread
 
 # Words of product classes, and the class's suffix codes in part numbers.
@@ -251,22 +252,6 @@ def _agree(a: str, b: str) -> Column:
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node of every connected component of `edges` (a, b), by passing on least labels
-    and following them, so that the number of rounds grows with the logarithm of a component's length."""
-    e = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(e.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
-    while True:
-        near = e.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        new = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", "label", F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        new = cut_lineage(new.join(jump, "next", "left").select("node", "label", F.least("next", "far").alias("next")))
-        done = new.where(F.col("label") != F.col("next")).isEmpty()
-        labels = new.select("node", F.col("next").alias("label"))
-        if done:
-            return labels
-
-
 def misspelt_models(full: DataFrame) -> DataFrame:
     """(a, b): models of one block whose series are one slip of the keyboard apart (a letter left out or doubled
     inside, two neighbours swapped) and whose brands agree. A letter more or less at the end makes another

@@ -32,6 +32,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_pairs(load(spark, d, "deal_items"))
 
 
+def p7_edit_classes(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.edit_classes(load(spark, d, "deal_items"))
+
+
 def p8_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(load(spark, d, "documents"), load(spark, d, "context_sizes"))
 
@@ -49,7 +53,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return textstats.statistics(textstats.document_counts(load(spark, d, "documents"), load(spark, d, "common_words")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p5_found, p6_percentiles, p6_combined, p7_found, p8_packing, p9_found, p10_found, p10_statistics)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p5_found, p6_percentiles, p6_combined, p7_found, p7_edit_classes, p8_packing, p9_found, p10_found, p10_statistics)}
 
 SQL: dict[str, str] = {
     "p6_percentiles": """
