@@ -1,10 +1,12 @@
 """Percentiles per group of very large numeric columns.
 
-`select_percentiles` is exact distributed multi-select. Every (group, percentile) keeps an open range that
-holds its answer. In a round the tasks propose the local median of their rows in each range, the weighted
-median of the proposals becomes the pivot, all rows in the range are counted below, at and above it, and the
-side without the answer is discarded; a range with few rows left is settled by sorting those. Rows never
-move; what is shuffled is a few numbers per task, group and percentile.
+`select_percentiles` is exact distributed multi-select. Percentiles of a group share open ranges that hold their
+answers; ranges of one group are the same or apart, so that a row lies in one at most. One pass over the rows in
+open ranges does two things: it counts them below, at and above the pivot, and tasks propose the local medians
+of both sides. The counts discard the side without the answer, and the weighted median of the proposals for the other is the
+next pivot. Once few of the rows are still in ranges, these rows alone are written and read from then on, so that all
+rounds together read the table a few times at most. Every group goes through a round; ranges that have only
+a handful of rows left are then settled by sorting those.
 
 `part_summaries` makes a small summary of every part (such as a day) with a known rank error; summaries of
 any parts can be kept and combined later by `combine`. Errors relative to the rows don't grow by merging, only by
@@ -16,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -26,8 +27,14 @@ from pyspark.sql import types as T
 from marketloom.tables import cut_lineage
 
 PERCENTILES = (50, 90, 95, 99)
-#: A range with at most so many rows is settled by sorting them; this bounds what one task gathers per range.
-SETTLE = 4096
+#: After a round, a range with at most so many rows is settled by sorting them.
+SETTLE = 64
+#: Rows still in ranges are written anew once they are at most this share of the rows read.
+NARROW = 0.25
+#: Ranges of up to so many groups (some 200 bytes each) are sent to all tasks; beyond, they are joined by key.
+FEW_GROUPS = 50_000
+#: A task gathers so many rows before it proposes or summarises.
+GATHER = 500_000
 
 
 def usable(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -36,16 +43,52 @@ def usable(rows: DataFrame, group: str, value: str) -> DataFrame:
     return rows.select(F.col(group).alias("g"), v.alias("v")).where(v.isNotNull() & ~F.isnan(v))
 
 
-def _in_range(v, lo, hi):
-    return (lo.isNull() | (v > lo)) & (hi.isNull() | (v < hi))
+def _offers(rows: DataFrame) -> DataFrame:
+    """From rows (g, v, lo, pivot): per group and range, how many rows are below, at and above the pivot (less, same,
+    more; all count as above where there is no pivot yet), and the weighted medians of the local medians of
+    the two sides (low, high)."""
+    schema = T.StructType([rows.schema["g"], T.StructField("lo", T.DoubleType()), T.StructField("side", T.IntegerType()), T.StructField("v", T.DoubleType()), T.StructField("n", T.LongType())])
+
+    def proposed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        g = t.column("g").combine_chunks() if t.column("g").num_chunks != 1 else t.column("g").chunk(0)
+        v, lo, pivot = (t.column(c).to_numpy() for c in ("v", "lo", "pivot"))
+        code = g.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        side = np.where(np.isnan(pivot) | (v > pivot), 1, np.where(v < pivot, 0, 2))
+        order = np.lexsort((v, side, lo, code))
+        c, s, low, x = code[order], side[order], lo[order], v[order]
+        new = (c[1:] != c[:-1]) | (s[1:] != s[:-1]) | ~((low[1:] == low[:-1]) | (np.isnan(low[1:]) & np.isnan(low[:-1])))
+        starts = np.nonzero(np.append(True, new))[0]
+        n = np.diff(np.append(starts, len(c)))
+        open_ = np.isnan(low[starts])
+        return pa.RecordBatch.from_arrays([g.take(pa.array(order[starts])), pa.array(low[starts], mask=open_), pa.array(s[starts], pa.int32()), pa.array(x[starts + (n - 1) // 2]), pa.array(n, pa.int64())], names=["g", "lo", "side", "v", "n"])
 
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+            if sum(x.num_rows for x in held) >= GATHER:
+                yield proposed(held)
+                held = []
+        if held:
+            yield proposed(held)
+
+    w = W.partitionBy("g", "lo", "side")
+    o = rows.select("g", "v", "lo", "pivot").mapInArrow(propose, schema).repartition("g", "lo")
+    o = o.withColumn("upto", F.sum("n").over(w.orderBy("v").rowsBetween(W.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("side") == k, F.col("n"))), F.lit(0).cast("long"))
+    median = lambda k: F.min(F.when((F.col("side") == k) & (F.col("upto") * 2 >= F.col("all")), F.col("v")))
+    return o.groupBy("g", "lo").agg(of(0).alias("less"), of(2).alias("same"), of(1).alias("more"), median(0).alias("low"), median(1).alias("high"))
 
-def _joined(base: DataFrame, state: DataFrame) -> DataFrame:
-    """Rows with the ranges of their group that they lie in. `state` has a row per group; Spark broadcasts it
-    only below its own threshold, and splits a hot group otherwise (AQE skew join)."""
-    wide = state.groupBy("g").agg(F.collect_list(F.struct("p", "lo", "hi", "pivot")).alias("ranges"))
-    d = base.join(wide.withColumnRenamed("g", "g2"), F.col("g").eqNullSafe(F.col("g2"))).select("g", "v", F.explode("ranges").alias("r"))
-    return d.where(_in_range(F.col("v"), F.col("r.lo"), F.col("r.hi"))).select("g", "v", "r.p", "r.pivot")
+
+def _inside(base: DataFrame, state: DataFrame, groups: int) -> DataFrame:
+    """Rows (g, v, lo, pivot, hi) with the open range that they lie in; others are left out."""
+    wide = state.groupBy(F.col("g").alias("g2")).agg(F.collect_set(F.struct("lo", "hi", "pivot")).alias("ranges"))
+    wide = F.broadcast(wide) if groups <= FEW_GROUPS else wide.hint("merge")
+    d = base.join(wide, F.col("g").eqNullSafe(F.col("g2")))
+    mine = F.filter("ranges", lambda r: (r["lo"].isNull() | (F.col("v") > r["lo"])) & (r["hi"].isNull() | (F.col("v") < r["hi"])))
+    return d.select("g", "v", F.get(mine, F.lit(0)).alias("r")).where("r is not null").select("g", "v", "r.lo", "r.hi", "r.pivot")
 
 
 def select_percentiles(rows: DataFrame, group: str, value: str, percentiles: tuple[int, ...] = PERCENTILES, settle: int = SETTLE) -> DataFrame:
@@ -57,49 +100,46 @@ def select_percentiles(rows: DataFrame, group: str, value: str, percentiles: tup
     columns are ignored.
     """
     base = usable(rows, group, value)
-    kind = rows.schema[group].dataType
-    proposal = T.StructType([T.StructField("g", kind), T.StructField("p", T.IntegerType()), T.StructField("v", T.DoubleType()), T.StructField("n", T.LongType())])
-
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Medians of batches, each weighted by its rows, stand for the task; they are data values.
-        for b in batches:
-            d = b.to_pandas()
-            if not len(d):
-                continue
-            r = d.groupby(["g", "p"], dropna=False, sort=False)["v"].agg([lambda s: s.sort_values().iloc[(len(s) - 1) // 2], "size"]).reset_index()
-            yield pa.RecordBatch.from_arrays([pa.array([None if pd.isna(x) else x for x in r["g"]], b.schema.field("g").type), pa.array(r["p"], pa.int32()), pa.array(r.iloc[:, 2].astype(float)), pa.array(r["size"], pa.int64())], names=["g", "p", "v", "n"])
-
-    n = F.count(F.lit(1))
-    counts = base.groupBy("g").agg(n.alias("n"))
-    state = counts.select("g", "n", F.explode(F.array(*(F.lit(p) for p in percentiles))).alias("p"))
-    state = state.select("g", "p", "n", F.floor((F.col("n") * F.col("p") + 99) / 100).cast("long").alias("k"), *(F.lit(None).cast("double").alias(c) for c in ("lo", "hi")), F.lit(0).cast("long").alias("below"), F.col("n").alias("left"), F.lit(None).cast("double").alias("answer"))
-    state = cut_lineage(state.withColumn("k", F.greatest("k", F.lit(1).cast("long"))))
+    none = F.lit(None).cast("double")
+    first = cut_lineage(_offers(base.select("g", "v", none.alias("lo"), none.alias("pivot"))))
+    k = F.greatest(F.floor((F.col("more") * F.col("p") + 99) / 100).cast("long"), F.lit(1).cast("long"))
+    state = first.select("g", "more", "high", F.explode(F.array(*(F.lit(p) for p in percentiles))).alias("p"))
+    state = state.select("g", "p", F.col("more").alias("n"), k.alias("k"), none.alias("lo"), none.alias("hi"), F.lit(0).cast("long").alias("below"), F.col("more").alias("left"), F.col("high").alias("pivot"), none.alias("answer"))
+    size, least = None, 0
     while True:
-        active = state.where(F.col("answer").isNull() & (F.col("left") > settle))
-        if active.isEmpty():
+        active = state.where(F.col("answer").isNull() & (F.col("left") > least))
+        some = active.groupBy("g", "lo").agg(F.max("left").alias("left")).agg(F.sum("left").alias("rows"), F.count_distinct("g").alias("groups"), F.count(F.lit(1)).alias("ranges")).first()
+        if not some.ranges:
             break
-        offers = _joined(base, active.withColumn("pivot", F.lit(None).cast("double"))).select("g", "p", "v").mapInArrow(propose, proposal)
-        w = W.partitionBy("g", "p")
-        offers = offers.groupBy("g", "p", "v").agg(F.sum("n").alias("n"))
-        offers = offers.withColumn("upto", F.sum("n").over(w.orderBy("v").rowsBetween(W.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
-        pivots = offers.where(F.col("upto") * 2 >= F.col("all")).groupBy("g", "p").agg(F.min("v").alias("pivot"))
-        pivots = cut_lineage(active.join(pivots.withColumnsRenamed({"g": "g2", "p": "p2"}), F.col("g").eqNullSafe(F.col("g2")) & (F.col("p") == F.col("p2"))).drop("g2", "p2"))
-        three = _joined(base, pivots).groupBy("g", "p").agg(F.count_if(F.col("v") < F.col("pivot")).alias("less"), F.count_if(F.col("v") == F.col("pivot")).alias("same"))
-        three = pivots.join(three.withColumnsRenamed({"g": "g2", "p": "p2"}), F.col("g").eqNullSafe(F.col("g2")) & (F.col("p") == F.col("p2")))
+        if size is None:
+            size = some.rows
+        elif some.rows <= size * NARROW:
+            unsettled = state.where("answer is null")  # those with few rows left are read once more at the end
+            base = cut_lineage(_inside(base, unsettled, _groups(unsettled)).select("g", "v"))
+            size = some.rows
+        got = _offers(_inside(base, active, some.groups)).withColumnsRenamed({"g": "g2", "lo": "lo2"})
+        three = active.join(got.hint("merge"), F.col("g").eqNullSafe(F.col("g2")) & F.col("lo").eqNullSafe(F.col("lo2")))
         under, at = F.col("below") + F.col("less"), F.col("below") + F.col("less") + F.col("same")
         down, up = F.col("k") <= under, F.col("k") > at
         moved = three.select(
             "g", "p", "n", "k",
             F.when(up, F.col("pivot")).otherwise(F.col("lo")).alias("lo"), F.when(down, F.col("pivot")).otherwise(F.col("hi")).alias("hi"),
             F.when(up, at).otherwise(F.col("below")).alias("below"),
-            F.when(down, F.col("less")).when(up, F.col("left") - F.col("less") - F.col("same")).otherwise(F.lit(0)).alias("left"),
+            F.when(down, F.col("less")).when(up, F.col("more")).otherwise(F.lit(0)).alias("left"),
+            F.when(down, F.col("low")).when(up, F.col("high")).alias("pivot"),
             F.when(~down & ~up, F.col("pivot")).alias("answer"),
         )
-        state = cut_lineage(moved.unionByName(state.where(F.col("answer").isNotNull() | (F.col("left") <= settle))))
-    few = _joined(base, state.where("answer is null").withColumn("pivot", F.lit(None).cast("double"))).groupBy("g", "p").agg(F.sort_array(F.collect_list("v")).alias("vs"))
-    out = state.join(few.withColumnsRenamed({"g": "g2", "p": "p2"}), F.col("g").eqNullSafe(F.col("g2")) & (F.col("p") == F.col("p2")), "left")
-    found = F.coalesce("answer", F.get("vs", (F.col("k") - F.col("below") - 1).cast("int")))
-    return out.select(F.col("g").alias(group), F.col("p").alias("percentile"), "n", found.alias("value"), F.lit(0).cast("long").alias("rank_error"))
+        state = cut_lineage(moved.unionByName(state.where(F.col("answer").isNotNull() | (F.col("left") <= least))))
+        least = settle
+    unsettled = state.where("answer is null")
+    few = _inside(base, unsettled, _groups(unsettled)).groupBy("g", "lo").agg(F.sort_array(F.collect_list("v")).alias("vs")).withColumnsRenamed({"g": "g2", "lo": "lo2"})
+    rest = unsettled.join(few.hint("merge"), F.col("g").eqNullSafe(F.col("g2")) & F.col("lo").eqNullSafe(F.col("lo2"))).withColumn("answer", F.get("vs", (F.col("k") - F.col("below") - 1).cast("int")))
+    out = state.where("answer is not null").unionByName(rest.select(*state.columns))
+    return out.select(F.col("g").alias(group), F.col("p").alias("percentile"), "n", F.col("answer").alias("value"), F.lit(0).cast("long").alias("rank_error"))
+
+
+def _groups(state: DataFrame) -> int:
+    return state.select("g").distinct().count()
 
 
 #: A percentile from summaries is at most this share of the group's rows away from its rank, however many batches,
@@ -107,8 +147,8 @@ def select_percentiles(rows: DataFrame, group: str, value: str, percentiles: tup
 BOUND = 0.001
 #: Each thinning may spend this share of the error that is left under the bound.
 SPEND = 0.25
-#: A task gathers so many rows before it summarises them, and a merge so many points before it thins them.
-GATHER, HELD = 500_000, 32_768
+#: A merge gathers so many points before it thins them.
+HELD = 32_768
 #: Summaries are merged so many at a time or more, in a tree.
 FAN = 16
 
@@ -243,23 +283,47 @@ def part_summaries(rows: DataFrame, group: str, value: str, part: str) -> DataFr
     return s.withColumnsRenamed({"g": group, "part": part})
 
 
-def combine(summaries: DataFrame, group: str, percentiles: tuple[int, ...] = PERCENTILES) -> DataFrame:
-    """(group, percentile, n, value, rank_error) from summaries of any parts of the same groups: the value's
-    rank is at most rank_error away from the percentile's, and rank_error at most `BOUND` of n, rounded up."""
-    s = summaries.select(F.col(group).alias("g"), "n", "rank_error", "points", "weights", F.pmod(F.xxhash64("points"), F.lit(16)).alias("lot"))
-    s = _merged(_merged(s, ["g", "lot"]), ["g"])
-    schema = T.StructType([s.schema["g"], T.StructField("percentile", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("value", T.DoubleType()), T.StructField("rank_error", T.LongType())])
+def read_percentiles(summaries: DataFrame, keys: tuple[str, ...], percentiles: tuple[int, ...] = PERCENTILES) -> DataFrame:
+    """(keys, percentile, n, value, rank_error) of every summary: the value's rank is at most rank_error away from the
+    percentile's."""
+    s = summaries.select(*keys, "n", "rank_error", "points", "weights")
+    m = len(keys)
+    schema = T.StructType([*(s.schema[k] for k in keys), T.StructField("percentile", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("value", T.DoubleType()), T.StructField("rank_error", T.LongType())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for g, n, err, v, w in zip(*(b.column(k).to_pylist() for k in range(3)), _arrays(b.column(3)), _arrays(b.column(4)), strict=True):
+            of, ps, ns, vs, es = [], [], [], [], []
+            for i, (n, err, v, w) in enumerate(zip(b.column(m).to_pylist(), b.column(m + 1).to_pylist(), _arrays(b.column(m + 2)), _arrays(b.column(m + 3)), strict=True)):
                 upto = np.cumsum(w) + err // 2  # the middle of what the true count can be
                 for p in percentiles:
-                    k = max((n * p + 99) // 100, 1)
-                    out.append((g, p, n, float(v[np.searchsorted(upto, k)]), err - err // 2))
-            cols = zip(*out, strict=True) if out else [[] for _ in schema]
-            types = (b.schema.field(0).type, pa.int32(), pa.int64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=schema.names)
+                    of.append(i)
+                    ps.append(p)
+                    ns.append(n)
+                    vs.append(float(v[np.searchsorted(upto, max((n * p + 99) // 100, 1))]))
+                    es.append(err - err // 2)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(of, pa.int64())) for c in range(m)), pa.array(ps, pa.int32()), pa.array(ns, pa.int64()), pa.array(vs, pa.float64()), pa.array(es, pa.int64())], names=schema.names)
+
+    return s.mapInArrow(read, schema)
 
-    return s.mapInArrow(read, schema).withColumnRenamed("g", group)
+
+def combined(summaries: DataFrame, group: str) -> DataFrame:
+    """(group, n, rank_error, points, weights): one summary of each group from those of any of its parts."""
+    s = summaries.select(F.col(group).alias("g"), "n", "rank_error", "points", "weights", F.pmod(F.xxhash64("points"), F.lit(16)).alias("lot"))
+    return _merged(_merged(s, ["g", "lot"]), ["g"]).withColumnRenamed("g", group)
+
+
+def combine(summaries: DataFrame, group: str, percentiles: tuple[int, ...] = PERCENTILES) -> DataFrame:
+    """(group, percentile, n, value, rank_error) from summaries of any parts of the same groups: the value's
+    rank is at most rank_error away from the percentile's, and rank_error at most `BOUND` of n, rounded up."""
+    return read_percentiles(combined(summaries, group), (group,), percentiles)
+
+
+def part_and_total_percentiles(rows: DataFrame, group: str, value: str, part: str) -> DataFrame:
+    """(group, scope, part, percentile, n, value, rank_error): percentiles of every part (scope `part`) and of all
+    parts of a group together (scope `all`, part null), both read from the parts' summaries, which are written once
+    into the shared folder. Errors and edge cases as in `combine`."""
+    kept = cut_lineage(part_summaries(rows, group, value, part))
+    each = read_percentiles(kept, (group, part))
+    total = combine(kept, group).withColumn(part, F.lit(None).cast(rows.schema[part].dataType))
+    columns = (group, "scope", part, "percentile", "n", "value", "rank_error")
+    return each.withColumn("scope", F.lit("part")).select(*columns).unionByName(total.withColumn("scope", F.lit("all")).select(*columns))

@@ -152,3 +152,33 @@ def test_tree_of_many_summaries_keeps_the_bound():
     vs = np.sort(np.concatenate(every))
     under = np.searchsorted(vs, v, side="right") - np.cumsum(w)
     assert tree.n == len(vs) == w.sum() and 0 <= under.min() and under.max() <= err <= 0.002 * len(vs) and len(v) < 20_000
+
+
+def test_select_by_rounds_only(spark):
+    """With ranges settled at one row, everything is found by pivots; rows are written anew along the way."""
+    r = random.Random(2)
+    rows = [(q, v) for q, n in (("hot", 3000), ("few", 3), (None, 40), ("one", 1)) for v in [r.choice((r.lognormvariate(3, 2), 7.0, float("inf"), float("-inf"), -0.0)) for _ in range(n)]]
+    rows += [("none", None), ("none", float("nan"))]
+    df = spark.createDataFrame(rows, "query string, total_price double").repartition(7)
+    want = {}
+    for q in {q for q, _ in rows} - {"none"}:
+        vs = sorted(v for k, v in rows if k == q)
+        want |= {(q, p): (len(vs), vs[max(1, (len(vs) * p + 99) // 100) - 1]) for p in quantiles.PERCENTILES}
+    for settle in (1, 64):
+        got = quantiles.select_percentiles(df, "query", "total_price", settle=settle).collect()
+        assert {(x.query, x.percentile): (x.n, x.value) for x in got} == want and len(got) == len(want)
+
+
+def test_ranges_joined_by_key(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "FEW_GROUPS", 0)
+    df = spark.range(2000).select((F.col("id") % 3).cast("string").alias("query"), F.col("id").cast("double").alias("total_price"))
+    got = {(x.query, x.percentile): x.value for x in quantiles.select_percentiles(df, "query", "total_price").collect()}
+    assert got == {(str(q), p): float(q + 3 * (max(1, (n * p + 99) // 100) - 1)) for q in range(3) for n in [len(range(q, 2000, 3))] for p in quantiles.PERCENTILES}
+
+
+def test_parts_and_totals(spark):
+    rows = [("a", d, float(v)) for d in range(5) for v in range(d * 10, d * 10 + 10)] + [(None, None, 1.0), ("a", 1, None)]
+    got = quantiles.part_and_total_percentiles(spark.createDataFrame(rows, "query string, day int, total_price double"), "query", "total_price", "day").collect()
+    of = {(x.query, x.scope, x.day, x.percentile): (x.n, x.value, x.rank_error) for x in got}
+    assert len(of) == len(got) == 4 * (5 + 1 + 1 + 1)
+    assert of["a", "all", None, 90] == (50, 44.0, 0) and of["a", "part", 3, 50] == (10, 34.0, 0) and of[None, "part", None, 99] == (1, 1.0, 0)
