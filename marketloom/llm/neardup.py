@@ -363,12 +363,11 @@ def candidates(f: DataFrame, max_different: int = MAX_DIFFERENT, hot: int = HOT,
     rows = f.where("bands is not null").select("node", "bits", F.posexplode("bands").alias("band", "sig"))
     rows = rows.select((F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("sig").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("key"), "node", "bits")
     total = f.where("bands is not null").count()
-    # At most SHARE keys a band can hold a SHARE-th of all nodes, so that this list is bounded, whatever the data.
+    # At most SHARE keys a band can hold a SHARE-th of all nodes, so that this list has some 16,000 at most, whatever the data.
     heavy = [r[0] for r in f.where("heavy is not null").select(F.explode("heavy").alias("h")).groupBy("h.key").agg(F.sum("h.n").alias("n")).where(F.col("n") > max(LEAST, total // SHARE)).select("key").collect()]
     known = None
     if heavy:
-        keys = F.broadcast(f.sparkSession.createDataFrame([(k,) for k in heavy], "key long"))
-        known, rows = rows.join(keys, "key", "left_semi").select("node"), rows.join(keys, "key", "left_anti")
+        known, rows = rows.where(F.col("key").isin(heavy)).select("node"), rows.where(~F.col("key").isin(heavy))
     made = cut_lineage(rows.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_bucket_pairs(max_different, hot), _PAIRS).groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one"))
     crowded = made.where("b is null").select(F.col("a").alias("node"))
     return made.where("b is not null"), (crowded if known is None else crowded.unionByName(known)).distinct()
