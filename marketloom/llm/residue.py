@@ -12,7 +12,6 @@ import html
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +20,8 @@ _NAME = r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*"
 # One grammar per delimiter pair.
 PLACEHOLDERS: dict[str, str] = {
     "{{ }}": rf"\{{\{{[#/&^>!]?\s*{_NAME}(?:\s*\|\s*{_NAME})*\s*\}}\}}",
-    "{% %}": r"\{%-?[^%{}]{1,80}-?%\}",
-    "<% %>": r"<%[=#-]?[^%<>]{1,80}%>",
+    "{% %}": r"\{%[^{}]+?%\}",
+    "<% %>": r"<%[^<>]+?%>",
     "${ }": rf"[$#@]\{{\s*{_NAME}\s*\}}",
     "{ }": rf"(?<![{{$#@%])\{{(?:{_NAME}|[0-9])\}}(?!\}})",
     "[[ ]]": rf"\[\[\s*{_NAME}\s*\]\]",
@@ -36,7 +35,7 @@ PLACEHOLDERS: dict[str, str] = {
     "*| |*": rf"\*\|{_NAME}\|\*",
     "$ $": rf"(?<![\w$])\${_NAME}\$(?![\w$])",
     "< >": r"<(?:[A-Z][A-Z0-9_.]*(?: [A-Z]+)*|[a-z]+(?:[_.][a-z0-9]+)+|brand|model|title|name|sku|seller|category|product|item)>",
-    "<!-- -->": r"<!--[^>]{0,80}-->",
+    "<!-- -->": r"<!--(?:(?!<!--)[\s\S])*?-->",
     "values": r"\[object Object\]|\bNaN\b|\b(?:undefined|null)(?: (?:undefined|null))+\b",
 }
 _PLACEHOLDER = re.compile("|".join(PLACEHOLDERS.values()))
@@ -52,7 +51,8 @@ _FILLER = re.compile(
     r"|\bbefore launch\b",
     re.I,
 )
-_KEYS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
+# The rows of the keyboard, and the same from the right.
+_KEYS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "poiuytrewq", "lkjhgfdsa", "mnbvcxz")
 # Notices that take the place of a page, by kind.
 NOTICES: dict[str, tuple[str, ...]] = {
     "script": (
@@ -97,16 +97,31 @@ _CODE = re.compile(r"```.*?(?:```|$)|(?m:^(?: {4}|\t).*$)", re.S)
 
 #: A placeholder is residue from this share of its sentence on (the second where it could be a plain word in
 #: brackets); filler and notices from these of the whole text.
-SENTENCE_SHARE, WEAK_SHARE, FILLER_SHARE, NOTICE_SHARE = 0.15, 0.3, 0.6, 0.8
+#: A body that isn't JSON is judged with all it shows, so that half suffices.
+SENTENCE_SHARE, WEAK_SHARE, FILLER_SHARE, NOTICE_SHARE, BODY_SHARE = 0.15, 0.3, 0.6, 0.8, 0.5
 _WEAK = re.compile(r"\{(?!(?:brand|model|title|name|sku|seller|category|price|product|item|city|customer|store)\})[a-z]+\}")
 #: Cheap tests: no hit of a pattern is possible without these.
 _MAY_HOLD = re.compile(r"[{\[<%$#@*(]|__|NaN|undefined|null")
-_MAY_SAY = re.compile(r"script|cookie|robot|human|connection|browser|interruption|traffic|denied|blocked|requests|forbidden|gateway|found|unauthorized|unavailable|server error|[45][0-9]{2}|upstream|wrong|expired|error|wartung|maintenance|request", re.I)
-_MAY_FILL = re.compile(r"here|launch|coming soon|to follow|to come|todo|tbd|fixme|placeholder|sample|test|dummy|example|insert|enter|write|add |put |later", re.I)
+_SAY = ("script", "cookie", "robot", "human", "connection", "browser", "interruption", "traffic", "denied", "blocked", "request", "forbidden", "gateway", "found", "unauthorized", "unavailable", "server error", "upstream", "wrong", "expired", "error", "wartung", "maintenance")
+_CODE_NUMBER = re.compile(r"[45][0-9]{2}")
+_FILL = ("here", "launch", "coming soon", "to follow", "to come", "todo", "tbd", "fixme", "placeholder", "sample", "test", "dummy", "example", "insert", "enter", "write", "add ", "put ", "later")
+_SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
+_NO_WORD = re.compile(r"[^\w]")
+
+
+def _may_say(text: str) -> bool:
+    low = text.lower()
+    return any(x in low for x in _SAY) or _CODE_NUMBER.search(low) is not None
+
+
+def _may_fill(text: str) -> bool:
+    low = text.lower()
+    return any(x in low for x in _FILL)
 
 
 def _solid(s: str) -> int:
-    return sum(not c.isspace() for c in s)
+    """Characters other than white space."""
+    return len("".join(s.split()))
 
 
 def placeholder_share(text: str) -> float:
@@ -115,8 +130,8 @@ def placeholder_share(text: str) -> float:
     if not _MAY_HOLD.search(text):
         return 0.0
     top = 0.0
-    for s in re.split(r"(?<=[.!?])\s+|\n+", _CODE.sub(" ", text)):
-        hits = _PLACEHOLDER.findall(s)
+    for s in _SENTENCES.split(_CODE.sub(" ", text)):
+        hits = _PLACEHOLDER.findall(s) if _MAY_HOLD.search(s) else None
         if hits and not TUTORIAL.search(_PLACEHOLDER.sub(" ", s)):
             share = sum(map(_solid, hits)) / max(1, _solid(s))
             if share >= WEAK_SHARE or not all(_WEAK.fullmatch(h) for h in hits):
@@ -131,13 +146,13 @@ def filler_share(text: str) -> float:
         return 0.0
     covered = 0
     rest = text
-    if _MAY_FILL.search(text):
+    if _may_fill(text):
         covered = sum(_solid(m.group()) for m in _FILLER.finditer(text))
         rest = _FILLER.sub(" ", text)
     if _MAY_HOLD.search(rest):
         rest = _PLACEHOLDER.sub(" ", rest)
     tokens = rest.split()
-    words = [re.sub(r"[^\w]", "", t.lower()) for t in tokens]
+    words = [t if t.isalnum() else _NO_WORD.sub("", t) for t in rest.lower().split()]
     if not covered and len(set(words)) == len(words) and not any(w in _LATIN for w in words) and max(map(len, words), default=0) > 3 and len(words) > 8:
         return 0.0
     counts: dict[str, int] = {}
@@ -147,7 +162,7 @@ def filler_share(text: str) -> float:
     few = len(counts) * 2 <= len(tokens) or len(counts) <= 2 < len(tokens)
     runs = {w for a, w, z in zip(words, words[1:], words[2:], strict=False) if w and a == w == z}
     for t, w in zip(tokens, words, strict=True):
-        mash = len(w) >= 4 and any(w in k or w in k[::-1] for k in _KEYS)
+        mash = len(w) >= 4 and any(w in k for k in _KEYS)
         if (
             (w in _LATIN and latin >= 3)
             or (w and len(w) >= 6 and len(set(w)) == 1)
@@ -162,22 +177,22 @@ def filler_share(text: str) -> float:
 
 
 def notice_share(text: str) -> float:
-    if not _MAY_SAY.search(text):
+    if not _may_say(text):
         return 0.0
     return sum(_solid(m.group()) for m in _NOTICE.finditer(text)) / max(1, _solid(text.strip(" .!")))
 
 
-@lru_cache(maxsize=65536)
 def residue_kind(text: str) -> str | None:
     """`placeholder`, `notice` or `filler` where a title or description isn't real content, else None."""
-    t = html.unescape(html.unescape(text)).strip()
+    t = (html.unescape(html.unescape(text)) if "&" in text else text).strip()
     if not t:
         return None
     if placeholder_share(t) >= SENTENCE_SHARE:
         return "placeholder"
-    if notice_share(re.sub(r"<[^>]*>", " ", t)) >= NOTICE_SHARE:
+    if notice_share(_TAG.sub(" ", t) if "<" in t else t) >= NOTICE_SHARE:
         return "notice"
-    if filler_share(t) + sum(map(_solid, _PLACEHOLDER.findall(t))) / _solid(t) >= FILLER_SHARE:
+    held = sum(map(_solid, _PLACEHOLDER.findall(t))) / _solid(t) if _MAY_HOLD.search(t) else 0.0
+    if filler_share(t) + held >= FILLER_SHARE:
         return "filler"
     return None
 
@@ -228,6 +243,11 @@ def _texts(product: dict) -> Iterator[str]:
                     yield v
 
 
+def _said(shown: str) -> str | None:
+    """What a body that is text and not a product object is: `notice` where that is at least half of what it shows."""
+    return "notice" if notice_share(shown) >= BODY_SHARE else residue_kind(shown)
+
+
 def page_kind(body: str | None) -> str | None:
     """Why a fetched product page isn't one: `wall`, `notice`, `placeholder` or `filler`; None if it is one,
     or is only cut off, empty or without products."""
@@ -238,12 +258,11 @@ def page_kind(body: str | None) -> str | None:
     except ValueError:
         if text[0] in "{[":
             return None  # cut off
-        plain = html.unescape(_TAG.sub(" ", text)).strip()
-        return "notice" if _NOTICE.search(plain) or _NOTICE.search(text) or residue_kind(plain) or (len(plain) < 400 and text[0] != '"') else None
+        return _said(html.unescape(_TAG.sub(" ", text)))
     except RecursionError:
         return None
     if isinstance(page, str):
-        return "notice" if _NOTICE.search(page) or residue_kind(page) else None
+        return _said(page)
     if not isinstance(page, dict):
         return None
     products = products_of(page)

@@ -45,6 +45,19 @@ def test_wrapped_notices(body, kind):
     assert residue.page_kind(body) == kind
 
 
+@pytest.mark.parametrize(
+    ("body", "kind"),
+    [("Solid oak desk, 120 cm, ships tomorrow.", None), ("<p>Our store ships worldwide.</p>", None), ('"A fine desk"', None), ('"Bad gateway"', "notice"), ("<h1>Shop</h1><p>Bad gateway</p>", "notice"), ("{% include 'partials/" + "x" * 90 + "' %}", "placeholder"), ("<b>{% " + "y" * 300 + " %}</b>", "placeholder")],
+)
+def test_bodies_that_are_text(body, kind):
+    assert residue.page_kind(page(title=body) if "%" in body else body) == kind
+
+
+def test_long_placeholders_need_their_end():
+    assert residue.placeholder_share("<!-- " + "note " * 40 + "-->") == 1.0 and residue.placeholder_share("<!-- " * 40) == 0.0
+    assert residue.placeholder_share("<% " + "x" * 200 + " %>") == 1.0 and residue.placeholder_share("{% never closed") == 0.0
+
+
 def test_operator(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "Bad gateway", "b"), (2, "Bad gateway", "b"), (3, page(), "c")], "page_id long, body string, residue_kind string")
     assert sorted(r.page_id for r in residue.residue_pages(df).collect()) == [2, 2]
