@@ -11,14 +11,28 @@ from pyspark.sql import functions as F
 V = textstats.Vocabulary([("en", w) for w in "the of and a to in is you that it he was for on are as with his they at".split()] + [("de", w) for w in "der die das und ist".split()])
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="ab the,.\n\t", max_size=400), st.integers(1, 90))
-def test_chunks_give_the_whole(text, size):
-    parts = [textstats.partial(text[i : i + size], V) for i in range(0, len(text), size)] or [textstats.partial("", V)]
-    top = parts[0]
-    for p in parts[1:]:
-        top = textstats.merge(top, p, V)
-    assert textstats.finish(top, V) == textstats.count_text(text, V)
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab the,.\n\t ", max_size=400), st.lists(st.integers(1, 399), max_size=12), st.integers(3, 40), st.randoms())
+def test_any_cuts_and_merges_give_the_whole(text, cuts, piece, rnd):
+    before, textstats.PIECE = textstats.PIECE, piece
+    try:
+        at = sorted({0, *(c for c in cuts if c < len(text))})
+        parts = [textstats.partial(text[a:b], V, a) for a, b in zip(at, [*at[1:], len(text)], strict=True)]
+        while len(parts) > 1:  # in any order
+            k = rnd.randrange(len(parts) - 1)
+            parts[k : k + 2] = [textstats.merge(parts[k], parts[k + 1], V)]
+        assert textstats.finish(parts[0], V) == textstats.count_text(text, V)
+    finally:
+        textstats.PIECE = before
+
+
+def test_one_very_long_line_counts_alike_at_every_chunk(spark):
+    words = spark.createDataFrame([("en", w) for w in V.by_word], "lang string, word string")
+    line = "The cat and the dog were in a house that he was to see as it is on the hill. " * 160 + "qx7 zzkk vvv9 " * 200 + "y" * 9000
+    df = spark.createDataFrame([(1, line), (2, line + "\n" + line)], "doc_id long, text string")
+    want = sorted(map(tuple, textstats.document_counts(df, words, chunk=1 << 20).collect()))
+    for chunk in (3000, 5000, 6007):
+        assert sorted(map(tuple, textstats.document_counts(df, words, chunk=chunk).collect())) == want
 
 
 def test_chunked_operator(spark):
