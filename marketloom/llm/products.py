@@ -128,13 +128,11 @@ class Listing(NamedTuple):
     suffix: str  # code, "" none
     capacity: str | None
     brand: str | None  # first two letters of a part number, or None
+    letters: str | None  # the letters of the series in the part number, in order of the alphabet
     shop_number: str | None
     gtin: str | None
 
 
-EMPTY = Listing(None, None, None, "", None, None, None, None)
-
-
 def _models(text: str) -> list[tuple[str, str, str, int]]:
     out = []
     for m in _MODEL.finditer(text):
@@ -189,7 +187,7 @@ def parse(title: str | None, description: str | None, sku: str | None) -> Listin
     shop = s if len(s) >= 5 and s.isdigit() and int(s) else None
     texts = [x for x in (title, description) if x and _GTIN_HINT.search(x)]
     gtin = next((g for x in texts for g in _GTIN.findall(clean(x)) if gtin_valid(g)), None) or (s if len(s) in (12, 13, 14) and gtin_valid(s) else None)
-    return Listing(kind, series, number, suffix, capacity, part[0] if part else None, shop, gtin)
+    return Listing(kind, series, number, suffix, capacity, part[0] if part else None, "".join(sorted(part[1])) if part else None, shop, gtin)
 
 
 def model_key(p: Listing) -> str | None:
@@ -218,10 +216,11 @@ _PARSED = T.StructType(
 
 def parsed(items: DataFrame, key: Column, origin: Column) -> DataFrame:
     """One row per listing: hashes of its model key and of that without the series (block), its attributes, and
-    hashes of its other reliable keys (GTIN, part number, shop and shop number)."""
+    hashes of its other reliable keys (GTIN, part number, shop and shop number). Odd hashes are of keys that makers give."""
     import xxhash
 
     h = lambda *xs: xxhash.xxh64_intdigest("\x1f".join(xs)) - (1 << 63)
+    maker, shops = lambda *xs: h(*xs) | 1, lambda *xs: h(*xs) & ~1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -231,11 +230,12 @@ def parsed(items: DataFrame, key: Column, origin: Column) -> DataFrame:
                 m = model_key(p)
                 keys = []
                 if p.gtin:
-                    keys.append(h("gtin", p.gtin.zfill(14)))
+                    keys.append(maker("gtin", p.gtin.zfill(14)))
                 if p.brand and p.number:
-                    keys.append(h("part", p.brand, (p.series or "")[:1], p.number, p.suffix, p.capacity or ""))
+                    keys.append(shops("part", p.brand, (p.series or "")[:1], p.number, p.suffix, p.capacity or ""))
+                    keys.append(maker("number", p.brand, p.letters or "", p.number, p.suffix, p.capacity or ""))
                 if p.shop_number and shop:
-                    keys.append(h("shop", shop.strip().lower(), p.shop_number))
+                    keys.append(shops("shop", shop.strip().lower(), p.shop_number))
                 for c, v in zip(cols, (None if m is None else h("model", m), None if m is None else h("block", m.rpartition("|")[0]), p.series, p.brand, p.kind, p.number, p.suffix if p.number else None, p.capacity, keys), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), *[pa.string()] * 6, pa.list_(pa.int64())), strict=True))], names=[f.name for f in _PARSED])
@@ -264,40 +264,75 @@ def misspelt_models(full: DataFrame) -> DataFrame:
     one_off = (F.abs(F.length(p) - F.length(q)) == 1) & (F.levenshtein(p, q) == 1) & ~p.startswith(q) & ~q.startswith(p)
     swapped = (F.length(p) == F.length(q)) & (F.levenshtein(p, q) == 2) & (letters(p) == letters(q))
     brands = F.col("least_a").isNull() | F.col("least_b").isNull() | ((F.col("least_a") == F.col("most_b")) & (F.col("most_a") == F.col("least_b")))
-    return a.join(b, "block").where((F.col("model_a") < F.col("model_b")) & (F.substring(p, 1, 1) == F.substring(q, 1, 1)) & (one_off | swapped) & brands).select(F.col("model_a").alias("a"), F.col("model_b").alias("b"))
+    return a.join(b.hint("merge"), "block").where((F.col("model_a") < F.col("model_b")) & (F.substring(p, 1, 1) == F.substring(q, 1, 1)) & (one_off | swapped) & brands).select(F.col("model_a").alias("a"), F.col("model_b").alias("b"))
+
+
+_STATED = ("kind", "number", "suffix", "capacity")
+
+
+def shared_numbers(full: DataFrame) -> DataFrame:
+    """(a, b): models of fully described listings that share a key given by the maker and agree in all but the series, whose
+    spelling may differ in any way. A star per key and set of attributes keeps edges in proportion to the models."""
+    at = full.select("model", *_STATED, F.explode("keys").alias("key")).where(F.col("key").bitwiseAND(F.lit(1)) == 1).distinct()
+    star = at.groupBy("key", *_STATED).agg(F.min("model").alias("b"), F.max("model").alias("most")).where("b <> most")
+    return at.join(star.hint("merge"), ["key", *_STATED]).where("model <> b").select(F.col("model").alias("a"), "b").distinct()
+
+
+def loose_links(loose: DataFrame) -> DataFrame:
+    """(a, b): listings that share a key and whose attributes agree, as a star per key and set of stated attributes, and
+    edges from each set that leaves something open to the others of its key that it agrees with, if these
+    agree among themselves; one that fits products that differ joins none and is joined by none."""
+    same = loose.groupBy("key", *_STATED).agg(F.min("id").alias("rep"))
+    on = [F.col("l.key") == F.col("s.key"), *(F.col(f"l.{c}").eqNullSafe(F.col(f"s.{c}")) for c in _STATED)]
+    within = loose.alias("l").join(same.hint("merge").alias("s"), on).where("l.id <> s.rep").select(F.col("l.id").alias("a"), F.col("s.rep").alias("b"))
+    open_ = same.where(" or ".join(f"{c} is null" for c in _STATED))
+    fits = open_.alias("o").join(same.hint("merge").alias("f"), (F.col("o.key") == F.col("f.key")) & (F.col("o.rep") != F.col("f.rep")) & _agree("o", "f"))
+    fits = cut_lineage(fits.select(F.col("o.key").alias("key"), F.col("o.rep").alias("a"), F.col("f.rep").alias("b"), *(F.col(f"f.{c}").alias(c) for c in _STATED)))
+    differ = F.lit(False)
+    for c in _STATED:
+        differ = differ | (F.min(c) != F.max(c))
+    torn = fits.groupBy("key", "a").agg(F.coalesce(differ, F.lit(False)).alias("torn")).where("torn").select("key", "a")
+    sure = fits.select("key", "a", "b").join(torn.hint("merge"), ["key", "a"], "left_anti").join(torn.withColumnRenamed("a", "b").hint("merge"), ["key", "b"], "left_anti")
+    return within.unionByName(sure.select("a", "b")).distinct()
 
 
 def product_classes(listings: DataFrame) -> DataFrame:
     """(id, origin, class) of `parsed` listings that belong to a known product.
 
-    A fully described listing's class is the component of its model and its misspellings. One that leaves
-    something open joins the only class that its reliable keys lead to and its own attributes agree with;
-    those that lead to none form guarded components among themselves, over listings that share a key and agree.
+    A fully described listing's class is the component of its model, its misspellings and the models that share its maker's
+    number. One that leaves something open joins the only class that its reliable keys lead to and its own attributes
+    agree with; those that lead to none form guarded components among themselves, over listings that share a
+    key and agree.
     """
     full = listings.where("model is not null")
-    slips = cut_lineage(misspelt_models(full))
+    slips = cut_lineage(misspelt_models(full).unionByName(shared_numbers(full)))
     if not slips.isEmpty():
         labels = components(slips).select(F.col("node").alias("model"), "label")
-        full = full.join(labels, "model", "left").withColumn("model", F.coalesce("label", "model")).drop("label")
+        full = full.join(labels.hint("merge"), "model", "left").withColumn("model", F.coalesce("label", "model")).drop("label")
     open_ = listings.where("model is null and size(keys) > 0").select("*", F.explode("keys").alias("key"))
-    known = full.select("model", "kind", "number", "suffix", "capacity", F.explode("keys").alias("key")).join(open_.select("key").distinct(), "key", "left_semi").distinct()
-    led = open_.alias("o").join(known.alias("f"), (F.col("o.key") == F.col("f.key")) & _agree("o", "f"))
-    led = led.groupBy("o.id", "o.origin").agg(F.min("f.model").alias("class"), F.max("f.model").alias("other"), F.min("o.key").alias("key"))
+    known = full.select("model", *_STATED, F.explode("keys").alias("key")).join(open_.select("key").distinct().hint("merge"), "key", "left_semi").distinct()
+    led = open_.alias("o").join(known.hint("merge").alias("f"), (F.col("o.key") == F.col("f.key")) & _agree("o", "f"))
+    led = led.groupBy("o.id", "o.origin").agg(F.min("f.model").alias("class"), F.max("f.model").alias("other"))
+    led = cut_lineage(led)
     joined = led.where(F.col("class") == F.col("other")).select("id", "origin", "class")
-    loose = open_.join(led.select("id").distinct(), "id", "left_anti")
+    loose = open_.join(led.select("id").distinct().hint("merge"), "id", "left_anti")
     out = full.select("id", "origin", F.col("model").alias("class")).unionByName(joined)
-    loose = cut_lineage(loose.select("id", "origin", "kind", "number", "suffix", "capacity", "key"))
-    if loose.isEmpty():
-        return out
-    # A star per key and set of stated attributes keeps the edges in proportion to the listings.
-    group = ["key", *(F.coalesce(c, F.lit("")).alias(c) for c in ("kind", "number", "suffix", "capacity"))]
-    star = loose.groupBy(*group).agg(F.min("id").alias("b"))
-    on = [F.col("l.key") == F.col("s.key"), *(F.coalesce(F.col(f"l.{c}"), F.lit("")) == F.col(f"s.{c}") for c in ("kind", "number", "suffix", "capacity"))]
-    edges = loose.alias("l").join(star.alias("s"), on).where("l.id <> s.b").select(F.col("l.id").alias("a"), F.col("s.b").alias("b"))
+    loose = cut_lineage(loose.select("id", "origin", *_STATED, "key"))
+    edges = cut_lineage(loose_links(loose))
     if edges.isEmpty():
         return out
     labels = components(edges)
-    return out.unionByName(loose.select("id", "origin").distinct().join(labels.withColumnRenamed("node", "id"), "id").select("id", "origin", F.xxhash64(F.lit("loose"), "label").alias("class")))
+    return out.unionByName(loose.select("id", "origin").distinct().join(labels.withColumnRenamed("node", "id").hint("merge"), "id").select("id", "origin", F.xxhash64(F.lit("loose"), "label").alias("class")))
+
+
+def same_product_classes(items: DataFrame, key: str = "item_id", origin: tuple[str, ...] = ("source", "source_id")) -> DataFrame:
+    """(key, class_id): listings that belong to a known product, whether or not others do. Edge cases as in
+    `same_product_pairs`."""
+    where = F.xxhash64(*(F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")) for c in origin))
+    p = parsed(items.where(F.col(key).isNotNull()), F.col(key), where).persist()
+    c = cut_lineage(product_classes(p))
+    p.unpersist()
+    return c.select(F.col("id").alias(key), "origin", F.col("class").alias("class_id"))
 
 
 def same_product_pairs(items: DataFrame, key: str = "item_id", origin: tuple[str, ...] = ("source", "source_id")) -> DataFrame:
@@ -307,8 +342,6 @@ def same_product_pairs(items: DataFrame, key: str = "item_id", origin: tuple[str
     parts of the origin equal each other only; null or empty title, description or sku state nothing; repeated
     rows of one origin make no pair; no rows give no pairs; clashing extra columns don't matter.
     """
-    where = F.xxhash64(*(F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")) for c in origin))
-    p = parsed(items.where(F.col(key).isNotNull()), F.col(key), where).persist()
-    c = product_classes(p)
-    a, b = (c.select("class", F.col("id").alias(x), F.col("origin").alias(f"o{x}")) for x in "ab")
-    return a.join(b, "class").where("a < b and oa <> ob").select(F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b"))
+    c = same_product_classes(items, key, origin)
+    a, b = (c.select("class_id", F.col(key).alias(x), F.col("origin").alias(f"o{x}")) for x in "ab")
+    return a.join(b.hint("merge"), "class_id").where("a < b and oa <> ob").select(F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b"))

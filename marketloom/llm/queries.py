@@ -19,6 +19,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return products.same_product_pairs(load(spark, d, "deal_items"))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return products.same_product_classes(load(spark, d, "deal_items")).select("item_id", "class_id")
+
+
 def p6_days(spark: SparkSession, d: str) -> DataFrame:
     items = load(spark, d, "deal_items").select("query", "total_price", F.to_date("received_at").alias("day"))
     return quantiles.part_and_total_percentiles(items, "query", "total_price", "day")
@@ -58,7 +62,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return textstats.statistics(textstats.document_counts(load(spark, d, "documents"), load(spark, d, "common_words")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p5_found, p6_days, p6_percentiles, p6_combined, p7_found, p7_edit_classes, p8_packing, p9_found, p10_found, p10_statistics)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p5_found, p5_classes, p6_days, p6_percentiles, p6_combined, p7_found, p7_edit_classes, p8_packing, p9_found, p10_found, p10_statistics)}
 
 #: Percentiles of summaries are exact, with a rank_error of 0, as long as a group has under 2,000 values (in sf0.01 the
 #: largest has 267); beyond, they are within their rank_error, which tests assert.

@@ -42,6 +42,19 @@ def test_pairs(spark):
     assert pairs(spark, []) == []
 
 
+def test_keys_join_all_listings(spark):
+    upc = "UPC 036000291452"
+    rows = [
+        (1, "a", "1", f"fast storage, {upc}", None, None, None), (2, "b", "1", f"ssd, boxed, {upc}", None, None, None),  # one leaves its class open
+        (3, "c", "1", "router GTIN 4006381333931", None, None, None), (4, "d", "1", "monitor GTIN 4006381333931", None, None, None), (5, "e", "1", "thing GTIN 4006381333931", None, None, None),  # 5 fits both, joins none
+        (6, "f", "1", "Kanlin 4620 Max NVMe SSD 2 TB EAN 73513537", None, None, None), (7, "g", "1", "Xanlinium 4620 Max NVMe SSD 2 TB EAN 73513537", None, None, None),  # series spelled quite differently
+        (8, "h", "1", "Kanlin 4621 Max NVMe SSD 2 TB EAN 73513537", None, None, None),  # another number
+    ]
+    assert pairs(spark, rows) == [(1, 2), (6, 7)]
+    got = {r.item_id: r.class_id for r in products.same_product_classes(spark.createDataFrame([(*r, "clash") for r in rows], S)).collect()}
+    assert got[1] == got[2] and got[6] == got[7] != got[8]
+
+
 def test_slips_of_the_keyboard(spark):
     spell = ["Dexruva", "Dexrvua", "Deexruva", "Dexuva", "Dexruv", "Dexruba", "Rexruva"]
     rows = [(i, "a", str(i), f"{w} 9353-Max NVMe SSD 4TB", None, None, None) for i, w in enumerate(spell)]
