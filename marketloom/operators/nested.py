@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from marketloom.tables import spread
 
 _SPACE = re.compile(r"[ \t\n\r]*").match
-_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?").match
-_WORDS = {"t": ("true", "true"), "f": ("false", "false"), "n": ("null", None)}
+#: One value or the start of a container, and a key with its colon, each with the white space behind; texts with escapes,
+#: which these leave out, are read by the decoder's own scanner.
+_VALUE = re.compile(r'(?:"([^"\\\x00-\x1f]*)"|([{\[])|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false)|(null))[ \t\n\r]*').match
+_NAME = re.compile(r'"([^"\\\x00-\x1f]*)"[ \t\n\r]*:[ \t\n\r]*').match
 OBJECT, ARRAY = "{", "["
 
 
@@ -34,70 +36,75 @@ class Triple(NamedTuple):
 
 def triples(text: str) -> Iterator[Triple]:
     """The triples of a JSON text in document order; raises ValueError where it isn't valid JSON."""
-    path: list = []
-    stack: list[str] = []
+    stack: list[tuple[tuple, str | int]] = []  # of each open container, the path and the key or position it is at
+    base: tuple = ()
+    at: str | int | None = None  # None at the top, else the key or position of the next value in the container at `base`
     i, n = _SPACE(text, 0).end(), len(text)
     while True:
-        # One value starts at i.
-        ch = text[i] if i < n else ""
-        if ch == '"':
-            try:
-                value, i = scanstring(text, i + 1, True)
-            except JSONDecodeError as e:
-                raise ValueError(str(e)) from e
-            yield Triple(tuple(path), "s", value)
-        elif ch in ("{", "["):
-            yield Triple(tuple(path), ch, None)
-            i = _SPACE(text, i + 1).end()
-            close = "}" if ch == "{" else "]"
-            if not (i < n and text[i] == close):
-                stack.append(ch)
-                if ch == "[":
-                    path.append(0)
-                else:
-                    key, i = _key(text, i)
-                    path.append(key)
-                continue
-            i += 1
-        elif ch in _WORDS and text.startswith(_WORDS[ch][0], i):
-            word, value = _WORDS[ch]
-            i += len(word)
-            yield Triple(tuple(path), "0" if value is None else "v", value)
-        elif m := _NUMBER(text, i):
-            i = m.end()
-            yield Triple(tuple(path), "v", m.group())
+        path = base if at is None else (*base, at)
+        m = _VALUE(text, i)
+        if m is None:
+            if i >= n or text[i] != '"':
+                raise ValueError(f"no value at {i}")
+            value, i = _escaped(text, i)
+            yield Triple(path, "s", value)
         else:
-            raise ValueError(f"no value at {i}")
+            i = m.end()
+            which = m.lastindex
+            if which == 1:
+                yield Triple(path, "s", m.group(1))
+            elif which == 3:
+                yield Triple(path, "v", m.group(3))
+            elif which == 4:
+                yield Triple(path, "0", None)
+            else:
+                ch = m.group(2)
+                yield Triple(path, ch, None)
+                if i < n and text[i] == ("}" if ch == "{" else "]"):
+                    i = _SPACE(text, i + 1).end()
+                else:
+                    stack.append((base, at))
+                    base = path
+                    if ch == "[":
+                        at = 0
+                    else:
+                        at, i = _key(text, i)
+                    continue
         # After a value: a comma, or ends of containers.
         while True:
-            i = _SPACE(text, i).end()
-            if not stack:
+            if at is None:
                 if i != n:
                     raise ValueError(f"more text at {i}")
                 return
             ch = text[i] if i < n else ""
             if ch == ",":
                 i = _SPACE(text, i + 1).end()
-                if stack[-1] == "[":
-                    path[-1] += 1
+                if type(at) is int:
+                    at += 1
                 else:
-                    path[-1], i = _key(text, i)
+                    at, i = _key(text, i)
                 break
-            if ch != ("]" if stack[-1] == "[" else "}"):
+            if ch != ("]" if type(at) is int else "}"):
                 raise ValueError(f"no comma or end at {i}")
-            stack.pop()
-            path.pop()
-            i += 1
+            base, at = stack.pop()
+            i = _SPACE(text, i + 1).end()
 
 
-def _key(text: str, i: int) -> tuple[str, int]:
-    if i >= len(text) or text[i] != '"':
-        raise ValueError(f"no key at {i}")
+def _escaped(text: str, i: int) -> tuple[str, int]:
     try:
-        key, i = scanstring(text, i + 1, True)
+        value, i = scanstring(text, i + 1, True)
     except JSONDecodeError as e:
         raise ValueError(str(e)) from e
-    i = _SPACE(text, i).end()
+    return value, _SPACE(text, i).end()
+
+
+def _key(text: str, i: int) -> tuple[str, int]:
+    m = _NAME(text, i)
+    if m is not None:
+        return m.group(1), m.end()
+    if i >= len(text) or text[i] != '"':
+        raise ValueError(f"no key at {i}")
+    key, i = _escaped(text, i)
     if i >= len(text) or text[i] != ":":
         raise ValueError(f"no colon at {i}")
     return key, _SPACE(text, i + 1).end()
@@ -132,18 +139,43 @@ class Row(NamedTuple):
     path: tuple
     columns: dict[str, str | None]
     parent: Row | None
+    leaves: dict[str, str]
+
+
+def _by_last(anchors: tuple[Anchor, ...]) -> tuple[dict, list[Anchor], frozenset]:
+    """Anchors by the last key that their instances' paths can end with (those that end with a position by the key
+    before it), those that end with any key, and the keys of all leaves that they read."""
+    named: dict[str, list[Anchor]] = {}
+    free = []
+    for a in anchors:
+        name = next((x for x in reversed(a.suffix) if isinstance(x, str)), None)
+        if name is None or a.suffix[-1] is str:
+            free.append(a)
+        else:
+            named.setdefault(name, []).append(a)
+    return named, free, frozenset(k for a in anchors for at in [*a.columns.values(), (a.needs or (0, None))[1:2]] for k in at[-1:])
 
 
-def related_rows(text: str, anchors: tuple[Anchor, ...]) -> list[Row]:
-    """The rows of one record, or ValueError if it isn't valid JSON."""
+def related_rows(text: str, anchors: tuple[Anchor, ...], whole: bool = False, by: tuple | None = None) -> list[Row]:
+    """The rows of one record, or ValueError if it isn't valid JSON. `whole`: rows hold, beside the anchor's columns, all their own
+    leaves, those below another row or an array excepted. `by`: `_by_last` of the anchors, if at hand."""
     leaves: dict[tuple, str | None] = {}
     found: list[tuple[Anchor, tuple]] = []
+    named, free, read = by or _by_last(anchors)
     for path, kind, value in triples(text):
-        if kind in "sv":
-            leaves[path] = value
-        for a in anchors:
-            if (kind == OBJECT or not a.objects_only) and _ends(path, a.suffix):
-                found.append((a, path))
+        if kind == "s" or kind == "v":
+            if whole or (path and path[-1] in read):
+                leaves[path] = value
+        if path and (kind == OBJECT or kind != "0"):
+            last = path[-1]
+            hits = named.get(last if type(last) is str else path[-2] if len(path) > 1 else None, ())
+            for a in (*hits, *free) if free else hits:
+                if (kind == OBJECT or not a.objects_only) and _ends(path, a.suffix):
+                    found.append((a, path))
+        elif path and free:
+            for a in free:
+                if not a.objects_only and _ends(path, a.suffix):
+                    found.append((a, path))
     rows: dict[tuple, Row] = {}
     out = []
     for a, path in found:  # document order: parents come before their children
@@ -158,8 +190,15 @@ def related_rows(text: str, anchors: tuple[Anchor, ...]) -> list[Row]:
                 break
         if a.tail and not (parent is not None and any(len(path) - len(parent.path) == len(t) and _ends(path, t) for t in a.tail)):
             continue
-        rows[path] = row = Row(a.table, path, columns, parent)
+        rows[path] = row = Row(a.table, path, columns, parent, {})
         out.append(row)
+    if whole:
+        for path, value in leaves.items():
+            k = len(path) - 1
+            while k >= 0 and type(path[k]) is str and path[:k] not in rows:
+                k -= 1
+            if k >= 0 and path[:k] in rows:
+                rows[path[:k]].leaves[".".join(path[k:])] = value
     return out
 
 
@@ -181,11 +220,14 @@ PRODUCT = (
 )
 
 
+_FORUM_BY, _PRODUCT_BY = _by_last(FORUM), _by_last(PRODUCT)
+
+
 def _forum_links(page: str, body: str) -> set[tuple[str, str, str]]:
     linked: dict[tuple, str] = {}  # path of a row that has a link: its name
     posts: set[tuple] = set()  # posts and crossposts with a link
     out = set()
-    for r in related_rows(body, FORUM):
+    for r in related_rows(body, FORUM, by=_FORUM_BY):
         key = r.columns["key"]
         if r.table == "child":
             kind = r.columns["kind"]
@@ -206,7 +248,7 @@ def _forum_links(page: str, body: str) -> set[tuple[str, str, str]]:
 
 
 def _product_links(page: str, body: str) -> set[tuple[str, str, str]]:
-    return {(r.parent.columns["key"], r.table, r.columns["key"]) for r in related_rows(body, PRODUCT) if r.table != "item" and r.parent is not None and r.parent.columns["key"] is not None and r.columns["key"] is not None}
+    return {(r.parent.columns["key"], r.table, r.columns["key"]) for r in related_rows(body, PRODUCT, by=_PRODUCT_BY) if r.table != "item" and r.parent is not None and r.parent.columns["key"] is not None and r.columns["key"] is not None}
 
 
 _SCHEMA = "page_id long, parent_key string, child_kind string, child_key string"
@@ -230,6 +272,47 @@ def _links(pages: DataFrame, links) -> DataFrame:
     return spread(pages.where("body is not null and page_id is not null").select("page_id", "body")).mapInArrow(cut, _SCHEMA)
 
 
+_ROWS = "page_id long, child_table string, row_path string, parent_path string, ordinal int, leaves map<string,string>"
+
+
+def related_tables(pages: DataFrame, anchors: tuple[Anchor, ...]) -> DataFrame:
+    """(page_id, child_table, row_path, parent_path, ordinal, leaves) of every instance of the anchors: which table it belongs
+    to, where it stands, where the nearest enclosing row of another instance stands (null for none), its position if it
+    stands in an array, and its own leaves by path below it. `pivoted` makes a table of it.
+
+    Defined edge cases: as in `page_links`, but that rows without keys are kept and repeated pages give their rows again.
+    No shuffle.
+    """
+
+    by = _by_last(anchors)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for page, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    rows = related_rows(body, anchors, whole=True, by=by)
+                except ValueError:
+                    continue
+                for r in rows:
+                    ordinal = r.path[-1] if type(r.path[-1]) is int else None
+                    out.append((page, r.table, _where(r.path), None if r.parent is None else _where(r.parent.path), ordinal, [(_text(k), _text(v)) for k, v in r.leaves.items()]))
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["page_id", "child_table", "row_path", "parent_path", "ordinal", "leaves"])
+
+    return spread(pages.where("body is not null and page_id is not null").select("page_id", "body")).mapInArrow(cut, _ROWS)
+
+
+def _where(path: tuple) -> str:
+    return _text("/" + "/".join(map(str, path)))
+
+
+def pivoted(rows: DataFrame, table: str, columns: dict[str, str]) -> DataFrame:
+    """One table of `related_tables`: its links, and a column for each named leaf path (null where a row lacks it)."""
+    return rows.where(F.col("child_table") == table).select("page_id", "row_path", "parent_path", "ordinal", *(F.col("leaves")[path].alias(c) for c, path in columns.items()))
+
+
 def _text(s: str) -> str:
     """Lone surrogates, which JSON escapes may hold and UTF-8 can't, become U+FFFD."""
     return s.encode("utf-8", "replace").decode() if not s.isascii() and any("\ud800" <= c <= "\udfff" for c in s) else s
