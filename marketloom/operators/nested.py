@@ -313,9 +313,12 @@ def pivoted(rows: DataFrame, table: str, columns: dict[str, str]) -> DataFrame:
     return rows.where(F.col("child_table") == table).select("page_id", "row_path", "parent_path", "ordinal", *(F.col("leaves")[path].alias(c) for c, path in columns.items()))
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
 def _text(s: str) -> str:
     """Lone surrogates, which JSON escapes may hold and UTF-8 can't, become U+FFFD."""
-    return s.encode("utf-8", "replace").decode() if not s.isascii() and any("\ud800" <= c <= "\udfff" for c in s) else s
+    return s if s.isascii() else _LONE.sub("\ufffd", s)
 
 
 def page_links(forum_pages: DataFrame, product_pages: DataFrame) -> DataFrame:

@@ -3,16 +3,22 @@
 Every text is reduced to a character-class shape mask (digit 9, month name M, weekday D, am/pm P, other
 words w, the ISO letters T and Z). A mask is mapped to a parser once; all texts of a batch that share
 a mask are then taken apart by one Arrow regular expression, and local times become instants through
-zone transition tables (`transitions`), looked up by binary search. Nothing is parsed row by row.
+zone transition tables (`transitions`), looked up by binary search. Nothing is parsed row by row. The tables are of
+one stated version of the zone data (`zone_data`), which the driver reads and the tasks get as data, so that what
+zone files a worker has plays no part.
 """
 
 from __future__ import annotations
 
 import bisect
 import datetime as dt
+import hashlib
+import importlib.util
+import io
 import re
 import zoneinfo
 from functools import lru_cache
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
@@ -35,45 +41,101 @@ AGES = {"s": 1, "sec": 1, "secs": 1, "second": 1, "seconds": 1, "m": 60, "min":
 _FIRST, _LAST = -(1 << 62), dt.datetime(2100, 1, 1, tzinfo=dt.UTC)
 
 
+class ZoneData(NamedTuple):
+    """The compiled zone files of one release, by zone name."""
+
+    version: str
+    files: dict[str, bytes]
+
+
+#: Zone data larger than this is refused; a whole release has about half a megabyte.
+MOST_BYTES = 8 << 20
+
+
+@lru_cache(maxsize=8)
+def zone_data(version: str | None = None, root: str | None = None) -> ZoneData:
+    """The zone data in folder `root`, or in the first of the system's folders that has any, or of the installed
+    package; ValueError if `version` is given and isn't the release found there. A folder that names no release counts as
+    a digest of its contents."""
+    folders = [Path(p) for p in ([root] if root else zoneinfo.TZPATH)]
+    if not root and importlib.util.find_spec("tzdata"):
+        folders.append(Path(importlib.util.find_spec("tzdata").origin).parent / "zoneinfo")
+    top = next((f for f in folders if (f / "Etc/UTC").exists() or (f / "UTC").exists()), None)
+    if top is None:
+        raise ValueError("no zone data found")
+    names = sorted(zoneinfo.available_timezones()) if not root else sorted(str(p.relative_to(top)) for p in top.rglob("*") if p.is_file())
+    files = {n: b for n in names if (top / n).is_file() and (b := (top / n).read_bytes())[:4] == b"TZif"}
+    if sum(map(len, files.values())) > MOST_BYTES:
+        raise ValueError(f"over {MOST_BYTES} bytes of zone data")
+    found = None
+    if (p := top / "tzdata.zi").exists() and (m := re.match(r"# version (\S+)", p.read_text(errors="replace"))):
+        found = m.group(1)
+    elif (p := top / "+VERSION").exists():
+        found = p.read_text().strip()
+    found = found or hashlib.sha256(b"".join(n.encode() + files[n] for n in sorted(files))).hexdigest()[:12]
+    if version is not None and version != found:
+        raise ValueError(f"zone data is of version {found}, not {version}")
+    return ZoneData(found, files)
+
+
 class Transitions(NamedTuple):
     """A zone's table: offset `offsets[i]` (seconds) holds for local times before `local[i]` and from `local[i-1]` on.
 
     `local[i]` is the last reading of the wall clock under the old offset: a time that occurs twice is its
     first occurrence, and one that is skipped is read with the offset before the change."""
 
-    version: str
     local: np.ndarray
     offsets: np.ndarray
+    names: np.ndarray  # lower-case abbreviations of the periods
+
+
+#: Tables made in this process, by version and zone.
+_tables: dict[tuple[str, str], Transitions | None] = {}
 
 
-@lru_cache(maxsize=1024)
-def transitions(zone: str, version: str = "system") -> Transitions:
-    """The transition table of an IANA zone from 1970 to 2100, found by bisection; raises KeyError for no zone."""
-    try:
-        z = zoneinfo.ZoneInfo(zone)
-    except (zoneinfo.ZoneInfoNotFoundError, ValueError, OSError) as e:
-        raise KeyError(zone) from e
+def transitions(zone: str, data: ZoneData | None = None) -> Transitions:
+    """The transition table of a zone from 1970 to 2100, found by bisection; raises KeyError for no zone."""
+    data = data or zone_data()
+    key = (data.version, zone)
+    if key not in _tables:
+        _tables[key] = _transitions(zone, data.files[zone]) if zone in data.files else None
+    if _tables[key] is None:
+        raise KeyError(zone)
+    return _tables[key]
+
+
+def _transitions(zone: str, compiled: bytes) -> Transitions:
+    z = zoneinfo.ZoneInfo.from_file(io.BytesIO(compiled), key=zone)
     epoch = dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
-    off = lambda s: int((epoch + dt.timedelta(seconds=s)).astimezone(z).utcoffset().total_seconds())
+    at_ = lambda s: (epoch + dt.timedelta(seconds=s)).astimezone(z)
+    off = lambda s: int(at_(s).utcoffset().total_seconds())
     at, end, step = 0, int((_LAST - epoch).total_seconds()), 7 * 86400
-    local, offsets, now = [], [], off(0)
+    local, offsets, names, now = [], [], [(at_(0).tzname() or "").lower()], off(0)
     while at < end:
         nxt = at + step
-        if (o := off(nxt)) != now:
+        if off(nxt) != now:
             change = at + bisect.bisect_left(range(step), True, key=lambda k: off(at + k) != now)
             after = off(change)
             local.append(change + max(now, after))
             offsets.append(now)
+            names.append((at_(change).tzname() or "").lower())
             now = after
             at = change
             continue
         at = nxt
-    return Transitions(version, np.array(local, dtype=np.int64), np.array([*offsets, now], dtype=np.int64))
+    return Transitions(np.array(local, dtype=np.int64), np.array([*offsets, now], dtype=np.int64), np.array(names, dtype=object))
 
 
-def to_utc(local_seconds: np.ndarray, zone: str) -> np.ndarray:
-    t = transitions(zone)
-    return local_seconds - t.offsets[np.searchsorted(t.local, local_seconds, side="right")]
+def to_utc(local_seconds: np.ndarray, zone: str, data: ZoneData | None = None, names: np.ndarray | None = None) -> np.ndarray:
+    """Seconds since 1970 UTC of local times. `names`: the lower-case abbreviations beside them, "" for none: one that only
+    the second occurrence of a time bears means that one."""
+    t = transitions(zone, data)
+    k = np.searchsorted(t.local, local_seconds, side="right")
+    if names is not None and len(t.local):
+        at, nxt = np.minimum(k, len(t.local) - 1), np.minimum(k + 1, len(t.offsets) - 1)
+        twice = (k < len(t.local)) & (local_seconds >= t.local[at] - t.offsets[k] + t.offsets[nxt])
+        k = np.where(twice & (t.names[nxt] == names) & (t.names[k] != names), nxt, k)
+    return local_seconds - t.offsets[k]
 
 
 def shape_masks(texts: pa.Array) -> pa.Array:
@@ -131,7 +193,7 @@ def _days(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> np.ndarray:
 _MONTH_DAYS = np.array([0, 31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31])
 
 
-def parse_instants(texts: pd.Series, received: np.ndarray, zones: np.ndarray, orders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def parse_instants(texts: pd.Series, received: np.ndarray, zones: np.ndarray, orders: np.ndarray, data: ZoneData | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(milliseconds since 1970 UTC, whether the text names an instant), for texts with the second of receipt
     and the home zone and date order of the node that received them."""
     n = len(texts)
@@ -209,6 +271,7 @@ def parse_instants(texts: pd.Series, received: np.ndarray, zones: np.ndarray, or
         local = days * 86400 + h * 3600 + mi * 60 + s
         home = pd.Series(zones[rows], dtype=object).fillna("UTC").to_numpy().astype(str)
         utc = np.zeros(len(rows), dtype=bool)
+        abbreviations = None
         if "z" in names:
             utc |= np.array([x == "z" for x in pc.fill_null(word("z"), "").to_pylist()])
         shift = np.zeros(len(rows), dtype=np.int64)
@@ -225,15 +288,18 @@ def parse_instants(texts: pd.Series, received: np.ndarray, zones: np.ndarray, or
                 if name in UTC_NAMES or (kind == "mail" and name == "gmt"):
                     utc |= here
                 elif "/" in name:
-                    known = _zone_name(name)
+                    known = _zone_name(name, data or zone_data())
                     home = np.where(here, known or "", home)
                     valid &= ~here | (known is not None)
-                # Any other name is an abbreviation: the zone of the node.
+                else:  # an abbreviation: the zone of the node
+                    if abbreviations is None:
+                        abbreviations = np.full(len(rows), "", dtype=object)
+                    abbreviations[here] = name
         seconds = np.where(utc, local - shift, 0)
         for zone in set(home[~utc]):
             here = ~utc & (home == zone)
             try:
-                seconds[here] = to_utc(local[here], zone)
+                seconds[here] = to_utc(local[here], zone, data, None if abbreviations is None else abbreviations[here])
             except KeyError:
                 valid &= ~here
         out[rows] = seconds * 1000 + millis("f")
@@ -241,26 +307,22 @@ def parse_instants(texts: pd.Series, received: np.ndarray, zones: np.ndarray, or
     return out, ok
 
 
-@lru_cache(maxsize=1)
-def _zones() -> dict[str, str]:
-    return {z.lower(): z for z in zoneinfo.available_timezones()}
-
+#: Names of zones by their lower-case form, by version.
+_lower: dict[str, dict[str, str]] = {}
 
-def _zone_name(name: str) -> str | None:
-    return _zones().get(name)
 
+def _zone_name(name: str, data: ZoneData) -> str | None:
+    if data.version not in _lower:
+        _lower[data.version] = {z.lower(): z for z in data.files}
+    return _lower[data.version].get(name)
 
-@F.pandas_udf(T.LongType())
-def _posted_ms(text: pd.Series, received: pd.Series, zone: pd.Series, order: pd.Series) -> pd.Series:
-    ms, ok = parse_instants(text, received.fillna(0).to_numpy().astype(np.int64), zone.to_numpy(), order.to_numpy())
-    return pd.Series(pd.array(ms, dtype="Int64")).where(ok)
 
-
-def instants(items: DataFrame, collectors: DataFrame, text: str = "posted_at", received: str = "received_at", key: str = "item_id") -> DataFrame:
+def instants(items: DataFrame, collectors: DataFrame, text: str = "posted_at", received: str = "received_at", key: str = "item_id", data: ZoneData | None = None) -> DataFrame:
     """(key, posted_ms) of every row whose `text` names an instant and isn't already YYYY-MM-DDTHH:MM:SSZ.
 
     `collectors` gives home_zone and date_order by node_id; a node that it lacks, or null, counts as UTC
-    with the year first. Defined edge cases: null, empty, filler and impossible dates give no row, as do
+    with the year first. `data` is the zone data to use, by default the driver's; all tasks get the same, half a megabyte.
+    A time that occurs twice is its first occurrence, but the second where its abbreviation is only that one's. Defined edge cases: null, empty, filler and impossible dates give no row, as do
     the year 1 and 1970-01-01; an age without a time of receipt gives no row; an unknown zone name with a
     slash gives no row; repeated rows each give theirs. The join's right side is a list of nodes and is
     broadcast only below Spark's own threshold; else nothing is shuffled.
@@ -270,5 +332,12 @@ def instants(items: DataFrame, collectors: DataFrame, text: str = "posted_at", r
     nodes = collectors.select("node_id", "home_zone", "date_order")
     d = d.join(nodes, "node_id", "left")
     d = d.where(~(F.col("received").isNull() & F.lower("text").like("%ago%")))
-    ms = _posted_ms("text", F.unix_seconds("received"), "home_zone", "date_order")
+    shared = items.sparkSession.sparkContext.broadcast(data or zone_data())
+
+    @F.pandas_udf(T.LongType())
+    def posted_ms(text: pd.Series, received: pd.Series, zone: pd.Series, order: pd.Series) -> pd.Series:
+        ms, ok = parse_instants(text, received.fillna(0).to_numpy().astype(np.int64), zone.to_numpy(), order.to_numpy(), shared.value)
+        return pd.Series(pd.array(ms, dtype="Int64")).where(ok)
+
+    ms = posted_ms("text", F.unix_seconds("received"), "home_zone", "date_order")
     return d.select(F.col("key").alias(key), ms.alias("posted_ms")).where("posted_ms is not null")

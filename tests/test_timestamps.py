@@ -1,12 +1,16 @@
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 import pytest
 from marketloom.operators import timestamps as ts
+from pyspark.sql import functions as F
 
 CASES = [
     ("2025-03-09T02:30:00", "n-nyc", "2025-03-09 07:30:00"),  # skipped: the offset before
     ("2025-11-02 01:30:00", "n-nyc", "2025-11-02 05:30:00"),  # twice: the first
-    ("Nov 2, 2025 1:30 AM EST", "n-nyc", "2025-11-02 05:30:00"),
+    ("Nov 2, 2025 1:30 AM EDT", "n-nyc", "2025-11-02 05:30:00"),
+    ("Nov 2, 2025 1:30 AM EST", "n-nyc", "2025-11-02 06:30:00"),  # the abbreviation is only the second's
     ("01/09/2025 4:49 AM", "n-ber", "2025-09-01 02:49:00"),
     ("01/09/2025", "n-nyc", "2025-01-09 05:00:00"),
     ("30/03/25 01:25", "n-lon", "2025-03-30 01:25:00"),
@@ -68,3 +72,29 @@ def test_transitions_against_zoneinfo(zone):
     for s, u in zip(local.tolist(), ts.to_utc(local, zone).tolist(), strict=True):
         naive = dt.datetime(1970, 1, 1) + dt.timedelta(seconds=s)
         assert u == s - naive.replace(tzinfo=z, fold=0).utcoffset().total_seconds()
+
+
+def test_abbreviations_tell_occurrences_apart():
+    texts = ["2024-11-03 01:30:00 EST", "2024-11-03 01:30:00 EDT", "2024-11-03 01:30:00", "2024-11-03 01:30:00 PST", "2024-11-03 00:30:00 EST", "2024-11-03 02:30:00 EDT"]
+    n = len(texts)
+    ms, ok = ts.parse_instants(pd.Series(texts), np.zeros(n, np.int64), np.array(["America/New_York"] * n, object), np.array(["mdy"] * n, object))
+    hour = lambda h, m: int(pd.Timestamp(2024, 11, 3, h, m, tz="UTC").timestamp() * 1000)
+    assert ok.all() and ms.tolist() == [hour(6, 30), hour(5, 30), hour(5, 30), hour(5, 30), hour(4, 30), hour(7, 30)]
+
+
+def test_versions_of_zone_data(tmp_path, spark):
+    own = ts.zone_data()
+    (tmp_path / "Etc").mkdir()
+    (tmp_path / "Etc/UTC").write_bytes(own.files["Etc/UTC"])
+    (tmp_path / "UTC").write_bytes(own.files["Etc/UTC"])
+    (tmp_path / "Made").mkdir()
+    (tmp_path / "Made/Up").write_bytes(own.files["Asia/Kolkata"])  # this release has a zone that others lack
+    (tmp_path / "+VERSION").write_text("2099z\n")
+    data = ts.zone_data("2099z", str(tmp_path))
+    assert data.version == "2099z" and sorted(data.files) == ["Etc/UTC", "Made/Up", "UTC"]
+    with pytest.raises(ValueError):
+        ts.zone_data("1999a", str(tmp_path))
+    items = spark.createDataFrame([(1, "2026-01-01 12:00:00", "n"), (2, "2026-01-01 12:00:00 Asia/Tokyo", "n")], "item_id long, posted_at string, node_id string").withColumn("received_at", F.current_timestamp())
+    nodes = spark.createDataFrame([("n", "Made/Up", "ymd")], "node_id string, home_zone string, date_order string")
+    assert [tuple(r) for r in ts.instants(items, nodes, data=data).collect()] == [(1, 1767249000000)]
+    assert ts.instants(items, nodes).count() == 1
