@@ -11,10 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def upsert(rows: DataFrame, keys: list[str], order: list[Column], latest: list[str], newest_known: list[str] = (), first: dict[str, str] | None = None, least: dict[str, str] | None = None, seen: str | None = None) -> DataFrame:
+def upsert(rows: DataFrame, keys: list[str], order: list[Column], latest: list[str], newest_known: list[str] = (), first: dict[str, str] | None = None, least: dict[str, str] | None = None, seen: str | None = None, count: str | None = None) -> DataFrame:
     """One row per keys: `latest` columns from the last row by `order`, `newest_known` from the last row that has
     them, `first` (new name: column) from the first row, `least` the smallest; with `seen` a first_seen and
-    last_seen. `rows` is the stored table united with the new batch."""
+    last_seen, with `count` how many rows there were. `rows` is the stored table united with the new batch."""
     at = F.struct(*order)
     out = [F.max_by(c, at).alias(c) for c in latest]
     out += [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(c) for c in newest_known]
@@ -22,6 +22,8 @@ def upsert(rows: DataFrame, keys: list[str], order: list[Column], latest: list[s
     out += [F.min(c).alias(n) for n, c in (least or {}).items()]
     if seen:
         out += [F.min(seen).alias("first_seen"), F.max(seen).alias("last_seen")]
+    if count:
+        out.append(F.count(F.lit(1)).alias(count))
     return rows.groupBy(*keys).agg(*out)
 
 

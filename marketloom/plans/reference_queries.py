@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marketloom.functions import render, specs, text, values
+from marketloom.functions import money, render, specs, text, values
 from marketloom.operators import asof, history, merge
+from marketloom.operators.normalise import normalise
 from marketloom.sources import feeds
 from marketloom.tables import load
 
@@ -55,37 +56,119 @@ def clean_titles(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "deal_items").select("item_id", text.clean_text(F.col("title")).alias("title_clean"))
 
 
-@query("""
-    SELECT obs_id, regexp_replace(lower(split_part(url, '/i/', 1)), ':443$', '') || '/i/' || regexp_replace(split_part(url, '/i/', 2), '\\?utm_source=.*$', '') || '?ref=' || source AS canonical,
-      regexp_extract(url, '^https?://([^/]+)', 1) AS host
-    FROM raw_listings""")
+#: What trackers do to a feed's URL, by obs_id, and what must be left: host and path, then parameters.
+_TRACKED = (
+    ("HTTPS://user@", "?utm_source=feed&ref=1&fbclid=1&b=2&gclsrc=x#top", "?b=2"), ("https://", "?utm_source=feed&b=%20x&ref_=2&c", "?b=%20x&c"), ("https://", "?PF_RD_p=1&hsa_x=2&cmpid=3", ""), ("http://", "?%75tm_medium=1&q=a&hue=2#", "?q=a&hue=2"),
+)
+
+
+@query(f"""
+    WITH u AS (SELECT obs_id, source_id, obs_id % 6 AS k, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+([^?#]*)', 1) AS path FROM raw_listings)
+    SELECT obs_id, CASE WHEN k = 4 THEN 'https://www.amazon.com/dp/' || upper(lpad(right(source_id, 10), 10, '0')) || '?th=1' WHEN k = 5 THEN 'https://www.ebay.com/itm/1?var=2'
+        ELSE (CASE WHEN k = 3 THEN 'http://' ELSE 'https://' END) || lower(host) || (CASE WHEN path = '' THEN '/' ELSE path END) || (CASE k {" ".join(f"WHEN {i} THEN '{t[2]}'" for i, t in enumerate(_TRACKED))} END) END AS canonical,
+      CASE WHEN k = 4 THEN 'amazon.com' WHEN k = 5 THEN 'ebay.com' ELSE regexp_replace(lower(host), '^www\\.', '') END AS host
+    FROM u WHERE NOT (k = 4 AND NOT regexp_matches(source_id, '^[A-Za-z0-9]+$'))""")
 def canonical_urls(spark: SparkSession, d: str) -> DataFrame:
-    # The feeds' URLs, decorated as trackers do.
-    r = load(spark, d, "raw_listings").select("obs_id", "source", F.concat(F.replace("url", F.lit("https://"), F.lit("HTTPS://user@")), F.lit("?utm_source=feed&ref="), "source", F.lit("&fbclid=1#top")).alias("u"))
-    return r.select("obs_id", text.canonical_url(F.col("u")).alias("canonical"), text.host_of(F.col("u")).alias("host"))
+    """The feeds' URLs, decorated as trackers do; a sixth as product and listing pages of two shops with rules of their own."""
+    r = load(spark, d, "raw_listings").withColumn("k", F.col("obs_id") % 6).where((F.col("k") != 4) | F.col("source_id").rlike("^[A-Za-z0-9]+$"))
+    rest = F.regexp_extract("url", r"^https?://([^?#]*)", 1)
+    u = F.when(F.col("k") == 4, F.concat(F.lit("https://www.amazon.com/x/gp/product/"), F.lpad(F.expr("right(source_id, 10)"), 10, "0"), F.lit("/ref=a?th=1&tag2=x&pf_rd_p=3"))).when(F.col("k") == 5, F.lit("https://www.ebay.com/itm/1?hash=item&var=2&_trksid=p1&_from=R40"))
+    for i, (scheme, decoration, _) in enumerate(_TRACKED):
+        u = u.when(F.col("k") == i, F.concat(F.lit(scheme), rest, F.lit(decoration)))
+    parts = r.select("obs_id", text.url_parts(u).alias("p"))
+    return parts.select("obs_id", text.canonical_of(F.col("p")).alias("canonical"), text.bare_host(F.col("p")).alias("host"))
 
 
-@query("""
-    SELECT regexp_replace(regexp_replace(lower(trim(retailer)), '(\\s+(online|store|shop|official))+$', ''), '[^a-z0-9]+', '', 'g') AS store,
-      count(*)::BIGINT AS n, count(DISTINCT retailer)::BIGINT AS spellings
-    FROM raw_listings WHERE retailer IS NOT NULL GROUP BY 1""")
+#: Other spellings of stores, and the store each stands for.
+_SPELLINGS = (("B&H", "bhphotovideo"), ("B&H Photo", "bhphotovideo"), ("Amazon.com", "amazon"), ("https://www.bestbuy.com/site", "bestbuy"), ("Best Buy .com", "bestbuy"), ("Dell Technologies", "dell"), ("shop.example.co.uk", "example"))
+
+
+@query(f"""
+    WITH r AS (SELECT CASE WHEN obs_id % 3 = 0 THEN list_value({", ".join(f"'{a}'" for a, _ in _SPELLINGS)})[(obs_id // 3 % {len(_SPELLINGS)}) + 1] ELSE retailer END AS retailer,
+        CASE WHEN obs_id % 3 = 0 THEN list_value({", ".join(f"'{b}'" for _, b in _SPELLINGS)})[(obs_id // 3 % {len(_SPELLINGS)}) + 1] ELSE regexp_replace(lower(trim(retailer)), '[^a-z0-9]+', '', 'g') END AS store FROM raw_listings)
+    SELECT store, count(*)::BIGINT AS n, count(DISTINCT retailer)::BIGINT AS spellings FROM r WHERE retailer IS NOT NULL AND store <> '' GROUP BY 1""")
 def store_identity(spark: SparkSession, d: str) -> DataFrame:
-    r = load(spark, d, "raw_listings").where("retailer is not null")
+    """Stores of the retailers' names; a third of the rows carry other spellings of known stores."""
+    spelt = F.get(F.array(*(F.lit(a) for a, _ in _SPELLINGS)), (F.floor(F.col("obs_id") / 3) % len(_SPELLINGS)).cast("int"))
+    r = load(spark, d, "raw_listings").select(F.when(F.col("obs_id") % 3 == 0, spelt).otherwise(F.col("retailer")).alias("retailer")).where("retailer is not null")
     # Spellings are few: counting them first leaves little to count distinct.
-    r = r.groupBy("retailer").agg(F.count(F.lit(1)).alias("n")).withColumn("store", text.store_name(F.col("retailer")))
+    r = r.groupBy("retailer").agg(F.count(F.lit(1)).alias("n")).withColumn("store", text.store_name(F.col("retailer"))).where("store is not null")
     return r.groupBy("store").agg(F.sum("n").alias("n"), F.count("retailer").alias("spellings"))
 
 
-@query("""
-    SELECT obs_id, CASE
-        WHEN regexp_matches(c, '^7000$|parts|not working|broken') THEN 'for_parts'
-        WHEN regexp_matches(c, '^(1500|1750)$|open.?box|like new') THEN 'open_box'
-        WHEN regexp_matches(c, '^(2000|2010|2020|2030|2500)$|refurb|renewed|recertified') THEN 'refurbished'
-        WHEN regexp_matches(c, '^(2750|2990|3000|3010|4000|5000|6000)$|used|pre.?owned|good|acceptable|fair') THEN 'used'
-        WHEN regexp_matches(c, '^1000$|\\bnew\\b|sealed') THEN 'new' ELSE 'unknown' END AS condition
-    FROM (SELECT obs_id, lower(trim(condition_raw)) AS c FROM raw_listings)""")
+#: Structured conditions as sources write them, with their classes.
+_CONDITIONS = (
+    ("Like New", "used"), ("New (never used)", "new"), ("New other (see details)", "open_box"), ("Certified - Refurbished", "refurbished"), ("1600", "open_box"), ("2750", "used"), ("7000", "for_parts"), ("9999", None), ("Open-Box Fair", "open_box"), ("Very Good - Refurbished", "refurbished"),
+    ("fairly priced", None), ("PRE_OWNED_FAIR", "used"), ("FOR_PARTS_OR_NOT_WORKING", "for_parts"), ("factory sealed", "new"), ("unused", None),
+)
+#: Free texts, the kind of the source, and the class that comes of both.
+_HINTS = (
+    ("brand new, never opened", "local", "new"), ("like new", "retail", "used"), ("not refurbished. sealed", "marketplace", "new"), ("open box, tested", "aggregator", "open_box"), ("for parts only", "retail", "for_parts"), ("works well", "local", "used"), ("works well", "retail", "new"),
+    ("can be used outdoors", "aggregator", "new"), ("brand new in an open box", "marketplace", "open_box"), ("with new thermal pads", "local", "used"), ("re-sealed", "local", "used"), ("was never used, BNIB", "local", "new"), ("new other", "local", "used"), ("nothing said", "other", "unknown"),
+)
+
+
+def _q(x: str | None) -> str:
+    return "NULL" if x is None else f"'{x}'"
+
+
+@query(f"""
+    SELECT obs_id, coalesce(c, 'none') AS condition FROM (SELECT obs_id, CASE WHEN obs_id % 2 = 0 THEN list_value({", ".join(_q(b) for _, b in _CONDITIONS)})[(obs_id // 2 % {len(_CONDITIONS)}) + 1]
+        WHEN regexp_matches(t, '^\\d{{4}}$') THEN CASE WHEN t::INT BETWEEN 1000 AND 1499 THEN 'new' WHEN t::INT BETWEEN 1500 AND 1999 THEN 'open_box' WHEN t::INT BETWEEN 2000 AND 2749 THEN 'refurbished' WHEN t::INT BETWEEN 2750 AND 6999 THEN 'used' WHEN t::INT = 7000 THEN 'for_parts' END
+        WHEN regexp_matches(t, 'parts|not working|salvage') THEN 'for_parts' WHEN regexp_matches(t, 'refurb|renewed|recondition|certified') THEN 'refurbished' WHEN regexp_matches(t, 'open.?box|new.other|defects') THEN 'open_box'
+        WHEN regexp_matches(t, '(^|[^r]\\s|[^a-z\\s])used|^used|pre.?owned|like.new') AND NOT regexp_matches(t, 'never used') THEN 'used' WHEN regexp_matches(t, '\\b(new|sealed|bnib|nib)\\b') THEN 'new' WHEN regexp_matches(t, '\\b(good|fair|excellent|acceptable|poor|mint|worn)\\b') THEN 'used' END AS c
+      FROM (SELECT obs_id, lower(trim(condition_raw)) AS t FROM raw_listings))""")
 def condition_classes(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "raw_listings").select("obs_id", text.condition_of(F.col("condition_raw")).alias("condition"))
+    """Classes of structured conditions; every second row carries one of a list of cases."""
+    case = F.get(F.array(*(F.lit(a) for a, _ in _CONDITIONS)), (F.floor(F.col("obs_id") / 2) % len(_CONDITIONS)).cast("int"))
+    r = load(spark, d, "raw_listings").select("obs_id", F.when(F.col("obs_id") % 2 == 0, case).otherwise(F.col("condition_raw")).alias("c"))
+    return r.select("obs_id", F.coalesce(text.condition_of(F.col("c")), F.lit("none")).alias("condition"))
+
+
+@query(f"SELECT item_id, list_value({', '.join(_q(c) for *_, c in _HINTS)})[(item_id % {len(_HINTS)}) + 1] AS condition FROM deal_items")
+def condition_text(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of listings without a structured condition, of what their texts say and where they are from: each item's number
+    with one of a list of cases."""
+    at = (F.col("item_id") % len(_HINTS)).cast("int")
+    said, kind = (F.get(F.array(*(F.lit(x[k]) for x in _HINTS)), at) for k in (0, 1))
+    i = load(spark, d, "deal_items").select("item_id", F.concat(F.lit("Item "), "item_id", F.lit(", "), said).alias("t"), kind.alias("k"))
+    return i.select("item_id", text.parse_condition(F.lit(None).cast("string"), F.col("k"), F.col("t")).alias("condition"))
+
+
+#: Ways in which titles name a price, P, beside other amounts.
+_PRICED = ("{t} - $P", "{t} $50 off, now $P shipped", "{t} ($P - $0.00)", "Save $100 - {t} $P + $20 shipping", "[DEAL] {t} (-$30 rebate) P USD", "{t} ($9999 value) for US $P", "{t} 240Hz 2024 20% off", "C$P {t}")
+
+
+@query(f"""
+    WITH p AS (SELECT item_id, item_id % {len(_PRICED)} AS k, printf('%.2f', round(1 + abs(hash(item_id)) % 0 + item_id % 8999 + (item_id % 100) / 100.0, 2))::DOUBLE AS p FROM deal_items)
+    SELECT item_id, CASE WHEN k = 6 THEN NULL ELSE p END AS price, CASE WHEN k = 6 THEN NULL WHEN k = 7 THEN 'CAD' ELSE 'USD' END AS currency FROM p""".replace("abs(hash(item_id)) % 0 + ", ""))
+def title_price(spark: SparkSession, d: str) -> DataFrame:
+    """Prices named in titles: the items' numbers as prices, written in one of several ways beside reductions and charges."""
+    i = load(spark, d, "deal_items").select("item_id", (F.col("item_id") % len(_PRICED)).alias("k"), F.printf(F.lit("%.2f"), 1 + F.col("item_id") % 8999 + (F.col("item_id") % 100) / 100).alias("p"))
+    t = F.get(F.array(*(F.lit(x) for x in _PRICED)), F.col("k").cast("int"))
+    m = i.select("item_id", money.text_price(F.replace(F.replace(t, F.lit("{t}"), F.concat(F.lit("Card "), "item_id")), F.lit("P"), F.col("p"))).alias("m"))
+    return m.select("item_id", F.col("m.amount").alias("price"), F.col("m.currency").alias("currency"))
+
+
+@query("""
+    WITH r AS (SELECT *, obs_id % 7 AS k FROM raw_listings WHERE price_num IS NOT NULL AND price_raw IS NULL AND NOT isnan(price_num) AND abs(price_num) <= 10000000)
+    SELECT obs_id, CASE WHEN k = 0 THEN 'empty_title' WHEN k = 1 THEN 'bad_url' WHEN price_num < 0 THEN 'negative_price' WHEN upper(coalesce(nullif(trim(currency), ''), 'USD')) <> 'USD' THEN 'unsupported_currency' END AS error,
+      CASE WHEN price_num >= 0 THEN round(price_num, 2) END AS price, CASE WHEN price_num >= 0 THEN round(round(price_num, 2) + CASE WHEN shipping_num >= 0 AND shipping_num <= 10000000 THEN round(shipping_num, 2) ELSE 0 END, 2) END AS total_price,
+      CASE WHEN list_price_num > 0 AND list_price_num <= 10000000 THEN round(list_price_num, 2) END AS list_price
+    FROM r""")
+def normalise_listings(spark: SparkSession, d: str) -> DataFrame:
+    """The master projection over all observations priced by number, a seventh each without a title and with a bad URL; shipping
+    and list prices count by their numbers."""
+    r = load(spark, d, "raw_listings").where("price_num is not null and price_raw is null and not isnan(price_num) and abs(price_num) <= 10000000").withColumn("k", F.col("obs_id") % 7)
+    none = F.lit(None).cast("string")
+    r = r.withColumns({"title": F.when(F.col("k") == 0, F.lit(" <b>!</b> ")).otherwise(F.col("title")), "url": F.when(F.col("k") == 1, F.lit("ftp://x")).otherwise(F.col("url")), "shipping_raw": none, "list_price_raw": none})
+    return normalise(r, ("obs_id",), ("USD",)).select("obs_id", "error", "price", "total_price", "list_price")
+
+
+@query()
+def normalised(spark: SparkSession, d: str) -> DataFrame:
+    """The master projection over all observations as they are."""
+    return normalise(load(spark, d, "raw_listings"))
 
 
 @query("""
@@ -116,9 +199,8 @@ def json_path_extract(spark: SparkSession, d: str) -> DataFrame:
     FROM raw_listings GROUP BY source, source_id""")
 def listing_upsert(spark: SparkSession, d: str) -> DataFrame:
     r = load(spark, d, "raw_listings").withColumn("price", F.when(~F.isnan("price_num"), F.col("price_num")))
-    u = merge.upsert(r.withColumn("one", F.lit(1)), ["source", "source_id"], [F.col("received_at"), F.col("obs_id")], ["title", "url"], ["condition_raw", "retailer"], {"first_obs": "obs_id"}, {"least_price": "price"}, "received_at")
-    n = r.groupBy("source", "source_id").agg(F.count(F.lit(1)).alias("n"))
-    return u.join(n, ["source", "source_id"]).select("source", "source_id", "title", "url", "condition_raw", "retailer", "first_obs", "least_price", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), "n")
+    u = merge.upsert(r, ["source", "source_id"], [F.col("received_at"), F.col("obs_id")], ["title", "url"], ["condition_raw", "retailer"], {"first_obs": "obs_id"}, {"least_price": "price"}, "received_at", count="n")
+    return u.select("source", "source_id", "title", "url", "condition_raw", "retailer", "first_obs", "least_price", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), "n")
 
 
 _CONTENT = ("source", "source_id", "url", "title", "description", "price_raw", "price_num", "currency", "shipping_raw", "shipping_num", "posted_at", "received_at")
@@ -214,33 +296,46 @@ def history_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _wq(table: str, x: str, q: float) -> str:
-    return f"""SELECT k, max(CASE WHEN f AND {q} <= p THEN {x} WHEN p2 IS NULL AND {q} >= p THEN {x} WHEN p < {q} AND {q} <= p2 THEN {x} + (x2 - {x}) * ({q} - p) / (p2 - p) END) AS r FROM (
+    """Every sample at its own position, equal values too."""
+    return f"""SELECT k, max(CASE WHEN f AND {q} < p THEN {x} WHEN p2 IS NULL AND {q} >= p THEN {x} WHEN p <= {q} AND {q} < p2 THEN {x} + (x2 - {x}) * ({q} - p) / (p2 - p) END) AS r FROM (
         SELECT k, {x}, p, lead(p) OVER o AS p2, lead({x}) OVER o AS x2, row_number() OVER o = 1 AS f FROM (
-          SELECT k, {x}, (sum(w) OVER (PARTITION BY k ORDER BY {x} ROWS UNBOUNDED PRECEDING) - w / 2) / sum(w) OVER (PARTITION BY k) AS p FROM (SELECT k, {x}, sum(w) AS w FROM {table} GROUP BY k, {x})) WINDOW o AS (PARTITION BY k ORDER BY {x})) GROUP BY k"""
+          SELECT k, {x}, w, (sum(w) OVER (PARTITION BY k ORDER BY {x}, w ROWS UNBOUNDED PRECEDING) - w / 2) / sum(w) OVER (PARTITION BY k) AS p FROM {table}) WINDOW o AS (PARTITION BY k ORDER BY {x}, w)) GROUP BY k"""
 
 
 @query(f"""
     WITH {_SAMPLES_SQL}, q1 AS ({_wq("s", "v", 0.25)}), q2 AS ({_wq("s", "v", 0.5)}), q3 AS ({_wq("s", "v", 0.75)}),
     dev AS (SELECT s.k, abs(v - r) AS e, w FROM s JOIN q2 USING (k)), mad AS ({_wq("dev", "e", 0.5)})
     SELECT k, count(*)::BIGINT AS n, round(pow(sum(w), 2) / sum(w * w), 4) AS n_eff, min(v) AS least, max(v) AS largest,
-      round(any_value(q1.r), 4) AS q1, round(any_value(q2.r), 4) AS median, round(any_value(q3.r), 4) AS q3, round(any_value(mad.r), 4) AS mad
+      round(any_value(q1.r), 4) AS q1, round(any_value(q2.r), 4) AS median, round(any_value(q3.r), 4) AS q3, round(any_value(mad.r), 4) AS mad,
+      round(greatest(any_value(q3.r) - any_value(q1.r), 0), 4) AS iqr
     FROM s JOIN q1 USING (k) JOIN q2 USING (k) JOIN q3 USING (k) JOIN mad USING (k) GROUP BY k""")
 def history_stats(spark: SparkSession, d: str) -> DataFrame:
     s = samples(spark, d)
     h = history.history_stats(s, ["k"])
-    return h.select("k", "n", F.round("n_eff", 4).alias("n_eff"), "least", "largest", *(F.round(c, 4).alias(c) for c in ("q1", "median", "q3", "mad")))
+    return h.select("k", "n", F.round("n_eff", 4).alias("n_eff"), "least", "largest", *(F.round(c, 4).alias(c) for c in ("q1", "median", "q3", "mad", "iqr")))
 
 
-@query("""
-    WITH a AS (SELECT item_id, concat_ws(':', source, source_id) AS l, query, item_condition, total_price, received_at FROM deal_items
-        WHERE query IS NOT NULL AND total_price IS NOT NULL AND NOT isnan(total_price) QUALIFY row_number() OVER (PARTITION BY source, source_id ORDER BY received_at DESC, item_id DESC) = 1)
-    SELECT query, item_condition, l AS listing_key, total_price, item_id FROM a QUALIFY row_number() OVER (PARTITION BY query, item_condition ORDER BY received_at DESC, item_id) <= 25""")
+_SNAPSHOTS = """
+    l AS (SELECT source, source_id, min(item_id) AS listing_id, concat_ws(':', source, source_id) AS listing_key FROM deal_items GROUP BY source, source_id),
+    s AS (SELECT item_id AS id, l.listing_id, query AS product_key, item_condition AS condition_class, total_price, epoch_us(received_at) AS t, d.source, coalesce(in_stock, true) AS accepted, (item_id % 100) / 100.0 AS risk
+      FROM deal_items d JOIN l USING (source, source_id) WHERE total_price IS NOT NULL AND NOT isnan(total_price))"""
+
+
+@query(f"""
+    WITH {_SNAPSHOTS}, since AS (SELECT max(t) - 90 * 86400000000 AS t0 FROM s),
+    a AS (SELECT s.* FROM s, since WHERE accepted AND t >= t0 AND product_key IS NOT NULL AND (risk IS NULL OR risk <= 0.8) QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY t DESC, id DESC) = 1),
+    b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY product_key, condition_class ORDER BY t DESC, listing_id) <= 400)
+    SELECT product_key, condition_class, l.listing_key, total_price, t::BIGINT AS observed_us, b.source, row_number() OVER (PARTITION BY product_key, condition_class ORDER BY t, b.listing_id)::INTEGER AS position FROM b JOIN l USING (listing_id)""")
 def warm_start_history(spark: SparkSession, d: str) -> DataFrame:
-    """The newest `history.CAP` listings per key. The SQL keeps 25, so the two agree only where no key has more."""
-    i = load(spark, d, "deal_items").where(F.col("query").isNotNull() & F.col("total_price").isNotNull() & ~F.isnan("total_price"))
-    a = history.newest_per(i, ["source", "source_id"], [F.col("received_at").desc(), F.col("item_id").desc()])
-    a = history.capped(a, ["query", "item_condition"], [F.col("received_at").desc(), F.col("item_id")])
-    return a.select("query", "item_condition", values.listing_key(F.col("source"), F.col("source_id")).alias("listing_key"), "total_price", "item_id")
+    """The accepted, recent and not too risky snapshots that price history starts from: the newest of each listing, the newest
+    `history.CAP` of each key, with the listing's key joined on, in order of time."""
+    i = load(spark, d, "deal_items")
+    listings = i.groupBy("source", "source_id").agg(F.min("item_id").alias("listing_id")).select("listing_id", "source", "source_id", values.listing_key(F.col("source"), F.col("source_id")).alias("listing_key"))
+    snapshots = i.where("total_price is not null and not isnan(total_price)").join(listings.select("listing_id", "source", "source_id"), ["source", "source_id"])
+    snapshots = snapshots.select(F.col("item_id").alias("id"), "listing_id", F.col("query").alias("product_key"), F.col("item_condition").alias("condition_class"), "total_price", F.col("received_at").alias("observed_at"), "source", F.coalesce("in_stock", F.lit(True)).alias("accepted"), (F.col("item_id") % 100 / 100.0).alias("risk"))
+    since = snapshots.agg(F.max("observed_at")).scalar() - F.expr("interval 90 days")
+    h = history.warm_start(snapshots, listings, since, most_risk=0.8)
+    return h.select("product_key", "condition_class", "listing_key", "total_price", F.unix_micros("observed_at").alias("observed_us"), "source", "position")
 
 
 @query("""
@@ -264,7 +359,7 @@ def asof_observation(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    WITH c AS (SELECT regexp_replace(regexp_replace(lower(trim(retailer)), '(\\s+(online|store|shop|official))+$', ''), '[^a-z0-9]+', '', 'g') AS store, query, item_id, epoch_us(received_at) / 1e6 AS t,
+    WITH c AS (SELECT regexp_replace(lower(trim(retailer)), '[^a-z0-9]+', '', 'g') AS store, query, item_id, epoch_us(received_at) / 1e6 AS t,
         floor(ln(total_price) / ln(1 + 0.02))::BIGINT AS b FROM deal_items WHERE retailer IS NOT NULL AND query IS NOT NULL AND total_price > 0 AND NOT isnan(total_price))
     SELECT x.item_id AS a_id, y.item_id AS b_id FROM c x JOIN c y ON x.store = y.store AND x.query = y.query AND abs(x.b - y.b) <= 1 AND x.item_id <> y.item_id
       AND y.t - x.t BETWEEN 0 AND 43200 AND (y.t > x.t OR x.item_id < y.item_id)""")
