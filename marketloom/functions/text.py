@@ -170,29 +170,31 @@ def _known(c: Column, names: dict[str, str]) -> Column:
 def store_of_host(host: Column) -> Column:
     """The store of a host name, by the label of its registrable domain."""
     h = F.regexp_replace(F.trim(F.regexp_replace(F.lower(host), r"^\.+|\.+$", "")), r"^www\.", "")
-    labels = F.filter(F.split(h, r"\."), lambda x: x != "")
-    two = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
-    domain = F.when((F.size(labels) >= 3) & two.isin(*TWO_PART_SUFFIXES), F.concat_ws(".", F.get(labels, F.size(labels) - 3), two)).otherwise(two)
-    label = F.regexp_replace(F.substring_index(domain, ".", 1), "[^a-z0-9]+", "")
-    return F.nullif(F.coalesce(_known(domain, SHORT_HOSTS), _known(label, STORE_ALIASES), label), F.lit(""))
+    two = lambda labels: F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
+    domain = lambda labels: _bound(two(labels), lambda t: F.when((F.size(labels) >= 3) & t.isin(*TWO_PART_SUFFIXES), F.concat_ws(".", F.get(labels, F.size(labels) - 3), t)).otherwise(t))
+    named = lambda d: _bound(F.regexp_replace(F.substring_index(d, ".", 1), "[^a-z0-9]+", ""), lambda label: F.nullif(F.coalesce(_known(d, SHORT_HOSTS), _known(label, STORE_ALIASES), label), F.lit("")))
+    return _bound(F.filter(F.split(h, r"\."), lambda x: x != ""), lambda labels: _bound(domain(labels), named))
 
 
 def store_name(c: Column) -> Column:
     """A store's key: letters and digits only, other spellings and host names folded; null for empty names."""
-    t = F.lower(F.trim(c))
-    key = F.regexp_replace(t, "[^a-z0-9]+", "")
-    base = F.regexp_extract(key, "^(.+?)(?:com|net|us|ca)$", 1)
-    known = F.coalesce(_known(base, STORE_ALIASES), F.when(base.isin(*STORES, *set(STORE_ALIASES.values())), base))
-    hostlike = t.rlike(r"^(?:https?://)?(?:www\.)?[a-z0-9-]+(?:\.[a-z0-9-]+)+(?:/\S*)?$")
-    host = F.regexp_extract(t, r"^(?:https?://)?([a-z0-9.-]+)", 1)
-    return F.nullif(F.when(hostlike, store_of_host(host)).otherwise(F.coalesce(_known(key, STORE_ALIASES), known, key)), F.lit(""))
+    stores = tuple(sorted({*STORES, *STORE_ALIASES.values()}))
+
+    def of_key(key: Column) -> Column:
+        return F.coalesce(_known(key, STORE_ALIASES), _bound(F.regexp_extract(key, "^(.+?)(?:com|net|us|ca)$", 1), lambda base: F.coalesce(_known(base, STORE_ALIASES), F.when(base.isin(*stores), base))), key)
+
+    def of_name(t: Column) -> Column:
+        hostlike = t.rlike(r"^(?:https?://)?(?:www\.)?[a-z0-9-]+(?:\.[a-z0-9-]+)+(?:/\S*)?$")
+        return F.when(hostlike, store_of_host(F.regexp_extract(t, r"^(?:https?://)?([a-z0-9.-]+)", 1))).otherwise(_bound(F.regexp_replace(t, "[^a-z0-9]+", ""), of_key))
+
+    return F.nullif(_bound(F.lower(F.trim(c)), of_name), F.lit(""))
 
 
 def cluster_identity(kind: Column, retailer: Column, url: Column) -> Column:
     """The store by which offers of different sources are taken together: of the retailer's name, else of the URL; null
     for what isn't a shop's or an aggregator's offer, and for places where anyone sells."""
-    store = F.coalesce(store_name(retailer), store_of_host(url_parts(url)["host"]))
-    return F.when(kind.isin("retail", "aggregator") & ~store.isin(*NOT_STORES), store)
+    store = F.coalesce(store_name(retailer), _bound(url_parts(url)["host"], store_of_host))
+    return _bound(store, lambda x: F.when(kind.isin("retail", "aggregator") & ~x.isin(*NOT_STORES), x))
 
 
 # Condition classes of platform codes, by first and last code.

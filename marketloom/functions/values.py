@@ -96,3 +96,18 @@ def lenient_number(c: Column) -> Column:
 def lenient_bool(c: Column) -> Column:
     t = F.lower(F.trim(c.cast("string")))
     return F.when(t.isin("true", "yes", "y", "1", "in_stock", "instock", "available"), True).when(t.isin("false", "no", "n", "0", "out_of_stock", "outofstock", "unavailable", "sold"), False)
+
+
+def near_any(c: Column, marks: tuple[float, ...], within: float = 0.005) -> Column:
+    """Whether a value lies within a distance of any of some marks, as placeholder prices do."""
+    return F.exists(F.array(*(F.lit(float(m)) for m in marks)), lambda m: F.abs(m - c) <= within)
+
+
+def dropped(before: Column, now: Column, share: float, least: float, epsilon: float = 1e-6) -> Column:
+    """Whether a value fell by at least a share and at least an amount."""
+    return (now <= before * (1 - share) + epsilon) & (before - now >= least - epsilon)
+
+
+def quota_interval(calls: Column, budget: Column, safety: float = 0.85) -> Column:
+    """Seconds between rounds of `calls` calls that keep within a share of a day's budget."""
+    return F.lit(86400.0) * calls / (budget * safety)

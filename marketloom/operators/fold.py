@@ -61,6 +61,56 @@ def claim_step(key: str, value: str, at: str, ttl: float, again: Callable[[float
     return step
 
 
+def cluster_claim_step(kind: str, listing: str, price: str, bucket: str, at: str, token: str, listing_ttl: float, cluster_ttl: float, drop_share: float, drop_least: float, epsilon: float = 1e-6) -> Step:
+    """Claims of listings that others may offer too, and their undoing; the state is that of one store and product.
+
+    A claim (`kind` claim) of a listing that is held is a `price_drop` if the price fell by the share and the amount asked
+    for, which holds it anew, else a `duplicate`, which changes nothing. A listing that isn't held is a
+    `cross_source_duplicate` if another listing owns its price bucket or a neighbouring one, else `new`. New and dropped ones own
+    their bucket (null: none). A `rollback` with the token of a claim undoes it if no later one has replaced it: what was held
+    before comes back with the time it had left. Listings and buckets end after their own times to live."""
+
+    def step(state: dict | None, row: dict) -> tuple[dict | None, list[dict]]:
+        s = state or {"held": {}, "owned": {}, "undo": {}}
+        held, owned, undo = s["held"], s["owned"], s["undo"]
+        t = row[at]
+        for table in (held, owned, undo):
+            for k in [k for k, v in table.items() if v["until"] <= t]:
+                del table[k]
+        who, tok = row[listing], row[token]
+        if row[kind] == "rollback":
+            u, done = undo.pop(tok, None), False
+            if u is not None:
+                for table, key, before in ((held, u["who"], u["held"]), (owned, u["bucket"], u["owned"])):
+                    if key in table and table[key]["token"] == tok:
+                        done = True
+                        if before is not None and before["left"] > 0:
+                            table[key] = {**{k: v for k, v in before.items() if k != "left"}, "until": t + before["left"]}
+                        else:
+                            del table[key]
+            return s, [{**row, "status": "undone" if done else "superseded", "previous": None, "owner": None}]
+        p, b = row[price], row[bucket]
+        now, previous, owner = held.get(who), None, None
+        if now is not None:
+            previous = now["price"]
+            drop = p <= previous * (1 - drop_share) + epsilon and previous - p >= drop_least - epsilon
+            status = "price_drop" if drop else "duplicate"
+        else:
+            other = next((o for k in (b, b - 1, b + 1) if (o := owned.get(k)) is not None and o["who"] != who), None) if b is not None else None
+            status = "new" if other is None else "cross_source_duplicate"
+            if other is not None:
+                previous, owner = other["price"], other["who"]
+        if status in ("new", "price_drop"):
+            before = [None if x is None else {**x, "left": x["until"] - t} for x in (now, owned.get(b) if b is not None else None)]
+            undo[tok] = {"who": who, "bucket": b, "held": before[0] if status == "price_drop" else None, "owned": before[1], "until": t + max(listing_ttl, cluster_ttl)}
+            held[who] = {"price": p, "token": tok, "until": t + listing_ttl}
+            if b is not None:
+                owned[b] = {"who": who, "price": p, "token": tok, "until": t + cluster_ttl}
+        return s, [{**row, "status": status, "previous": previous, "owner": owner}]
+
+    return step
+
+
 def admission_step(at: str, span: float, most: int) -> Step:
     """Admit at most `most` rows in any `span` seconds; refused rows don't count against later ones."""
 

@@ -483,9 +483,16 @@ def scan_forum(spark: SparkSession, d: str) -> DataFrame:
     return feeds.forum(load(spark, d, "hardwareswap_pages")).select("page_id", "pos", "source_id", "title", "author", "want")
 
 
-@query()
+@query("""
+    WITH p AS (SELECT page_id, json(body) AS j FROM hardwareswap_pages WHERE json_valid(body) AND json_type(body) = 'OBJECT'),
+    v AS (SELECT json_extract(j, '$.data.children[' || (i - 1) || ']') AS v FROM p, range(1, coalesce(json_array_length(j, '$.data.children'), 0)::BIGINT + 1) t(i)),
+    s AS (SELECT v->>'$.kind' AS kind, v->>'$.data.name' AS name, coalesce((v->>'$.data.stickied')::BOOLEAN, false) AS stickied, v->>'$.data.removed_by_category' AS removed,
+      lower(nullif(regexp_extract(v->>'$.data.title', '(?i)^\\s*\\[([^\\]]*)\\]\\s*\\[H\\]\\s*(.*?)\\s*\\[W\\]\\s*(.*)$', 2), '')) AS h, lower(nullif(regexp_extract(v->>'$.data.title', '(?i)^\\s*\\[([^\\]]*)\\]\\s*\\[H\\]\\s*(.*?)\\s*\\[W\\]\\s*(.*)$', 3), '')) AS w FROM v),
+    m AS (SELECT *, regexp_matches(h, '\\b(paypal|venmo|zelle|cash|cashapp|local cash)\\b') AS mh, regexp_matches(w, '\\b(paypal|venmo|zelle|cash|cashapp|local cash)\\b') AS mw FROM s)
+    SELECT CASE WHEN kind IS DISTINCT FROM 't3' OR name IS NULL THEN 'malformed' WHEN stickied THEN 'stickied' WHEN removed IS NOT NULL THEN 'removed' WHEN h IS NULL THEN 'no_swap_title' WHEN NOT coalesce(mw AND NOT mh, false) THEN 'not_selling' ELSE 'taken' END AS reason, count(*)::BIGINT AS n FROM m GROUP BY 1""")
 def forum_skip_reasons(spark: SparkSession, d: str) -> DataFrame:
-    posts = feeds.swap_intent(feeds.forum(load(spark, d, "hardwareswap_pages")))
+    """Why posts aren't taken; malformed ones are counted too."""
+    posts = feeds.swap_intent(feeds.forum(load(spark, d, "hardwareswap_pages"), malformed=True))
     return posts.groupBy(F.coalesce(feeds.skip_reason(), F.lit("taken")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.functions import money
 from marketloom.functions.values import compile_path
 
 LISTING = ("source_id", "title", "price_num", "list_price_num", "shipping_num", "currency", "condition_raw", "in_stock", "url", "image_urls", "description", "posted_epoch")
@@ -68,10 +69,13 @@ def newegg(pages: DataFrame) -> DataFrame:
 _SWAP = r"(?i)^\s*\[([^\]]*)\]\s*\[H\]\s*(.*?)\s*\[W\]\s*(.*)$"
 
 
-def forum(pages: DataFrame) -> DataFrame:
-    """Posts of a forum's newest page, with the parts of `[place] [H] have [W] want` titles."""
+def forum(pages: DataFrame, malformed: bool = False) -> DataFrame:
+    """Posts of a forum's newest page, with the parts of `[place] [H] have [W] want` titles. `malformed`: also what isn't a post
+    with a name, source_id null."""
     v = F.col("v")
-    d = rows_of(pages, "$.data.children").where((get(v, "kind") == "t3") & get(v, "data.name").isNotNull())
+    d = rows_of(pages, "$.data.children")
+    good = F.coalesce((get(v, "kind") == "t3") & get(v, "data.name").isNotNull(), F.lit(False))
+    d = d.withColumn("v", F.when(good, v)) if malformed else d.where(good)
     title = get(v, "data.title")
     d = d.withColumn("title", title)
     return d.select(
@@ -94,7 +98,7 @@ def swap_intent(posts: DataFrame) -> DataFrame:
 
 def skip_reason() -> Column:
     """Why a forum post isn't taken, in order of evaluation; null if it is."""
-    return F.when(F.col("stickied"), "stickied").when(F.col("removed_by").isNotNull(), "removed").when(F.col("have").isNull(), "no_swap_title").when(F.col("intent").isNull() | (F.col("intent") != "selling"), "not_selling")
+    return F.when(F.col("source_id").isNull(), "malformed").when(F.col("stickied"), "stickied").when(F.col("removed_by").isNotNull(), "removed").when(F.col("have").isNull(), "no_swap_title").when(F.col("intent").isNull() | (F.col("intent") != "selling"), "not_selling")
 
 
 def bestbuy(pages: DataFrame) -> DataFrame:
@@ -168,3 +172,77 @@ def rss(spark: SparkSession, path: str) -> DataFrame:
     images = F.regexp_extract_all("encoded", F.lit(r'<img[^>]*src="([^"]+)"'), F.lit(1))
     when = F.to_unix_timestamp(F.coalesce(F.try_to_timestamp(F.regexp_replace("pubDate", r"^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(F.regexp_replace(F.regexp_replace("pubDate", r"^[A-Za-z]{3}, ", ""), " GMT$", " +0000"), F.lit("dd MMM yyyy HH:mm:ss Z"))))
     return listing(d, keep=(), source_id=sid, title=F.col("title"), price_num=F.replace(price, F.lit(","), F.lit("")).try_cast("double"), url=F.col("link"), description=F.col("description"), image_urls=images, posted_epoch=when).where("source_id is not null and title is not null")
+
+
+# What retailers call conditions, by what their word holds.
+_WORDS_OF_CONDITION = ((r"open.*box|box.*open", "Open Box"), (r"refurb|renewed|certified", "Refurbished"), (r"pre-?owned|used", "Used"), (r"parts", "For parts"), (r"^new", "New"))
+
+
+def condition_word(c: Column) -> Column:
+    """A retailer's condition in the words that conditions are known by; others as they are, null for empty ones."""
+    t = F.trim(c)
+    out = F.nullif(t, F.lit(""))
+    for pattern, word in reversed(_WORDS_OF_CONDITION):
+        out = F.when(F.lower(t).rlike(pattern), word).otherwise(out)
+    return out
+
+
+_DEAL = r"^\s*((?:\[[^\]]*\]\s*)+)(.*)$"
+
+
+def deal_posts(pages: DataFrame, skip_flairs: tuple[str, ...] = ("expired",)) -> DataFrame:
+    """Posts `[TAG] Product - $price (breakdown)` of a forum's newest page, all of them, with a skip reason: malformed (no name),
+    stickied, removed, expired (by flair), no_price."""
+    v = F.col("v")
+    d = rows_of(pages, "$.data.children")
+    d = d.select("page_id", "pos", get(v, "kind").alias("kind"), get(v, "data.name").alias("source_id"), get(v, "data.title").alias("title"), get(v, "data.link_flair_text").alias("flair"), F.coalesce(get(v, "data.url_overridden_by_dest"), get(v, "data.url")).alias("url"),
+                 F.coalesce(get(v, "data.stickied", "boolean"), F.lit(False)).alias("stickied"), get(v, "data.removed_by_category").alias("removed_by"), get(v, "data.created_utc", "double").alias("posted_epoch"))
+    d = d.withColumns({"tags": F.regexp_extract_all(F.regexp_extract("title", _DEAL, 1), F.lit(r"\[([^\]]*)\]"), F.lit(1)), "price": money.text_price(F.col("title"))})
+    reason = (
+        F.when((F.coalesce(F.col("kind"), F.lit("")) != "t3") | F.col("source_id").isNull() | F.col("title").isNull(), "malformed").when(F.col("stickied"), "stickied").when(F.col("removed_by").isNotNull(), "removed")
+        .when(F.lower("flair").isin(*skip_flairs), "expired").when(F.col("price.amount").isNull(), "no_price")
+    )
+    return d.select("page_id", "pos", "source_id", F.get("tags", 0).alias("tag"), "title", F.col("price.amount").alias("price_num"), F.col("price.currency").alias("currency"), "url", "posted_epoch", reason.alias("skip_reason"))
+
+
+_AMOUNT = r"\$\s?([0-9][0-9,]*(?:\.[0-9]{1,2})?)"
+
+
+def title_offer(title: Column, most_ratio: float = 5.0) -> Column:
+    """(price, list_price, shipping) of a deal's title. The list price stands after `was`, `list`, `reg`, `MSRP` or `orig`, is above
+    the price and at most `most_ratio` times it. Shipping is 0 where it is free at this price (`free shipping on $35+` from there on),
+    an amount after `+` where it names one, else null."""
+    amount = lambda pattern, k=1: F.replace(F.regexp_extract(title, pattern, k), F.lit(",")).try_cast("double")
+    was = rf"(?i)\b(?:was|list(?: price)?|reg(?:ular)?\.?(?: price)?|msrp|orig(?:inally)?\.?)[\s:]*{_AMOUNT}"
+    price = money.text_price(F.regexp_replace(title, was, ""))["amount"]
+    free = title.rlike(r"(?i)\bfree\s+(?:standard\s+)?(?:shipping|delivery|s/h|s&h)|\bf/?s\b")
+    least = amount(rf"(?i)\bfree\s+(?:standard\s+)?(?:shipping|delivery|s/h|s&h)[^$]{{0,24}}?(?:on|over|w/|orders?)[^$]{{0,16}}{_AMOUNT}\s*\+?")
+    paid = amount(rf"(?i)\+\s*{_AMOUNT}\s*(?:shipping|delivery|s/h|s&h)")
+    return F.struct(price.alias("price"), F.when((amount(was) > price) & (amount(was) <= price * most_ratio), amount(was)).alias("list_price"), F.when(free & (least.isNull() | (price >= least)), 0.0).otherwise(paid).alias("shipping"))
+
+
+def tree_listings(nodes: DataFrame, fields: dict[str, str], skip: Column | None = None) -> DataFrame:
+    """Rows of the listing schema from `trees.tree_rows`: `fields` name columns and paths; of nodes of one page that name the same
+    item the first counts, filled up from the others; nodes for which `skip` holds (over `v`) aren't taken."""
+    d = nodes.select("page_id", "pos", F.try_parse_json("node").alias("v"))
+    if skip is not None:
+        d = d.where(~F.coalesce(skip, F.lit(False)))
+    cols = {c: number("v", p) if _TYPES.get(c) == "double" else get("v", p, _TYPES.get(c, "string")) for c, p in fields.items()}
+    d = listing(d, **cols).where("source_id is not null and title is not null")
+    return d.groupBy("page_id", "source_id").agg(F.min("pos").alias("pos"), *(F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c) for c in LISTING if c != "source_id"))
+
+
+def withheld_feeds(pages: DataFrame, edges: str, cursor: str) -> DataFrame:
+    """(page_id, withheld): pages whose list is empty although a cursor says that there is more, the sign of a soft block."""
+    doc = F.try_parse_json("body")
+    many = get(doc, edges, "array<variant>")
+    return pages.select("page_id", ((F.size(F.coalesce(many, F.array().cast("array<variant>"))) == 0) & (F.coalesce(get(doc, cursor), F.lit("")) != "")).alias("withheld"))
+
+
+def search_rows(pages: DataFrame) -> DataFrame:
+    """Rows of a static search page: each `li` of class `cl-static-search-result`, with its title, link, price and place."""
+    item = F.explode(F.regexp_extract_all("body", F.lit(r'(?s)<li[^>]*class="cl-static-search-result"[^>]*>.*?</li>'), F.lit(0)))
+    d = pages.select("page_id", item.alias("x"))
+    part = lambda pattern: F.nullif(F.trim(F.regexp_extract("x", pattern, 1)), F.lit(""))
+    d = d.select("page_id", part(r'href="([^"]+)"').alias("url"), part(r'(?s)<div class="title">(.*?)</div>').alias("title"), F.replace(part(r'(?s)<div class="price">\s*\$?([0-9,.]+)'), F.lit(",")).try_cast("double").alias("price_num"), part(r'(?s)<div class="location">(.*?)</div>').alias("place"))
+    return d.withColumn("source_id", F.regexp_extract("url", r"([0-9]+)\.html", 1)).where("title is not null and source_id <> ''")

@@ -1,11 +1,11 @@
 """Every registered core query with SQL gives what DuckDB gives, on the smallest tables."""
 
 import glob
+import math
 import os
+from decimal import Decimal
 
 import duckdb
-import numpy as np
-import pandas as pd
 import pytest
 from marketloom.plans import registry
 
@@ -19,25 +19,39 @@ def db(data):
     return c
 
 
-def plain(df: pd.DataFrame) -> list[str]:
+def plain(columns: list[str], rows: list) -> list[str]:
+    """Rows as texts, columns by name; NaN is a value of its own, not null."""
+
     def one(v):
-        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, (float, np.floating)) and np.isnan(v)):
-            return None
-        if isinstance(v, (bool, np.bool_)):
-            return bool(v)
-        return round(float(v), 5) if isinstance(v, (int, float, np.integer, np.floating)) else v
+        if isinstance(v, (bool, type(None), str)):
+            return v
+        if isinstance(v, (list, tuple)):
+            return [one(x) for x in v]
+        if isinstance(v, (int, float, Decimal)):
+            return "NaN" if math.isnan(v) else round(float(v), 5)
+        return str(v)
 
-    return sorted(str(tuple(map(one, r))) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
+    order = sorted(range(len(columns)), key=columns.__getitem__)
+    return sorted(str([one(r[k]) for k in order]) for r in rows)
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_same_rows(spark, db, data, name):
-    assert plain(registry.QUERIES[name](spark, data).toPandas()) == plain(db.execute(registry.SQL[name]).fetchdf())
+    df = registry.QUERIES[name](spark, data)
+    got = db.execute(registry.SQL[name])
+    columns = [c[0] for c in got.description]
+    assert sorted(df.columns) == sorted(columns)
+    assert plain(df.columns, df.collect()) == plain(columns, got.fetchall())
+
+
+def test_nan_is_not_null():
+    assert plain(["a"], [(float("nan"),)]) != plain(["a"], [(None,)])
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_runs(spark, data, name):
-    assert registry.QUERIES[name](spark, data).columns
+    df = registry.QUERIES[name](spark, data)
+    assert df.columns and len(df.collect()) > 0
 
 
 def test_entry_names():
