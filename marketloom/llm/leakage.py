@@ -4,30 +4,34 @@ A seed is a mask over a window of words: positions marked 1 are hashed, the othe
 of the evaluation texts are hashed under every mask; documents are scanned once, and where a window's hash
 meets one of a test item the overlap around the hit is verified word by word: as an exact run, or tolerating
 substitutions along the hit's diagonal. Every mask spans at most the shortest run asked for, so that no exact
-run is missed. The evaluation texts are the stated query set: they travel to the tasks in blocks of bounded
-size, documents never move.
+run is missed. The evaluation texts are the stated query set: up to BLOCK_CHARS of them travel to the tasks and are looked up
+where documents are read. A larger set is met by joining hashes: documents are still read once, and of their
+windows only those that pass a bit filter of fixed size over the set's hashes are shuffled; candidate pairs then fetch
+their two texts and are verified in the same way. Documents as such never move but for candidates.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.tables import spread
+from marketloom.tables import cut_lineage, spread
 
 #: Masks of a span of 12 words or less; different positions are open in each.
 MASKS = ("110110101101", "101101111011")
 RUN = 12
-#: Characters of evaluation text in one block, and so the bound on what is sent to a task at once.
+#: Characters of evaluation text that are sent to tasks; a larger set is joined.
 BLOCK_CHARS = 8_000_000
+#: Bits of the filter over a larger set's hashes (8 MB), in pages of so many bits.
+FILTER_BITS, PAGE_BITS = 26, 16
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -66,7 +70,9 @@ def _hashes(ids: np.ndarray, mask: np.ndarray, span: int) -> tuple[np.ndarray, n
     return h, ok
 
 
-def build_index(items: list[tuple[int, str]], masks: tuple[str, ...] = MASKS) -> Index:
+def build_index(items: list[tuple[int, str]], masks: tuple[str, ...] = MASKS, once: bool = False) -> Index:
+    """`once`: of equal windows of an item only the first, which is enough to find exact runs, so that texts that repeat a few words
+    don't multiply with each other."""
     span = max(map(len, masks))
     vocabulary: dict[str, int] = {}
     ids: list[int] = []
@@ -78,13 +84,22 @@ def build_index(items: list[tuple[int, str]], masks: tuple[str, ...] = MASKS) ->
     arr = np.array(ids, dtype=np.int32)
     positions = tuple(np.array([k for k, c in enumerate(m) if c == "1"]) for m in masks)
     hashes, starts = [], []
+    owners = np.array(owner, dtype=np.int64)
+    whole, complete = _hashes(arr, np.arange(span), span)
+    first = np.ones(len(whole), bool)
+    if once and len(whole):
+        runs = np.nonzero(complete)[0]
+        pairs = np.stack([whole[runs], owners[runs].astype(np.uint64)])
+        first[runs] = False
+        first[runs[np.unique(pairs, axis=1, return_index=True)[1]]] = True
+        first &= complete
     for m in positions:
         h, ok = _hashes(arr, m, span)
-        at = np.nonzero(ok)[0]
+        at = np.nonzero(ok & first)[0]
         order = np.argsort(h[at], kind="stable")
         hashes.append(h[at][order])
         starts.append(at[order])
-    return Index(vocabulary, arr, np.array(owner, dtype=np.int64), hashes, starts, positions, span)
+    return Index(vocabulary, arr, owners, hashes, starts, positions, span)
 
 
 def hits(ids: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
@@ -151,12 +166,108 @@ def tolerant_overlaps(ids: np.ndarray, index: Index, least: int = RUN, identity:
     return [(i, s, e) for i, (s, e) in sorted(best.items())]
 
 
-def _blocks(items: DataFrame, key: str, text: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+def _small(items: DataFrame, key: str, text: str, most: int) -> list[tuple[int, str]] | None:
+    """The evaluation texts if they are `most` characters or less together, else None."""
     items = items.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("t is not null and k is not null").distinct()
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = max(1, math.ceil(total / block_chars * 1.25)) if total > block_chars else 1
-    for b in range(n):
-        yield [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == b).collect()]
+    return [(r[0], r[1]) for r in items.collect()] if total <= most else None
+
+
+_seen_words: dict[str, int] = {}
+
+
+def _word_ids(text: str) -> np.ndarray:
+    """A 64-bit hash of each word, never 0."""
+    if len(_seen_words) > 1_000_000:
+        _seen_words.clear()
+    out = []
+    for w in _WORD.findall(text.lower()):
+        h = _seen_words.get(w)
+        if h is None:
+            h = _seen_words[w] = xxhash.xxh64_intdigest(w) | 1
+        out.append(h)
+    return np.array(out, dtype=np.uint64)
+
+
+def _window_hashes(texts: list[str], masks: tuple[str, ...] = MASKS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of all windows of the texts under all masks."""
+    span = max(map(len, masks))
+    rows, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for i, t in enumerate(texts):
+        ids = _word_ids(t)
+        for k, m in enumerate(masks):
+            h, _ = _hashes(ids, np.array([p for p, c in enumerate(m) if c == "1"]), span)
+            h = np.unique(h * np.uint64(2) + np.uint64(k))
+            rows.append(np.full(len(h), i))
+            hashes.append(h)
+    return np.concatenate(rows), np.concatenate(hashes)
+
+
+def _windows(d: DataFrame, key: str, keep=None) -> DataFrame:
+    """(key, hash) of the different windows of each text; `keep`: a broadcast filter that they must pass."""
+    kind = d.schema[key].dataType
+    schema = T.StructType([T.StructField(key, kind), T.StructField("hash", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                rows, h = _window_hashes(part.column(1).to_pylist())
+                if keep is not None:
+                    bit = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                    on = (keep.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                    rows, h = rows[on], h[on]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(h.view(np.int64))], names=[key, "hash"])
+
+    return d.mapInArrow(run, schema)
+
+
+def _filter(hashes: DataFrame) -> np.ndarray:
+    """The bit filter over a column `hash`, made page by page, so that what comes to the driver is its 8 MB at most."""
+    top = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
+    d = hashes.select(F.shiftright(top, PAGE_BITS).alias("page"), top.bitwiseAND(F.lit((1 << PAGE_BITS) - 1)).alias("bit")).distinct()
+
+    def page(t: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << PAGE_BITS, np.uint8)
+        bits[t.column("bit").to_numpy()] = 1
+        return pa.table({"page": t.column("page").combine_chunks()[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    size = 1 << (PAGE_BITS - 3)
+    for r in d.groupBy("page").applyInArrow(page, "page long, bits binary").toLocalIterator():
+        out[r.page * size : (r.page + 1) * size] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
+def _leaked_by_join(documents: DataFrame, items: DataFrame, doc_key: str, item_key: str, text: str, run: int, tolerant: bool, schema: T.StructType) -> DataFrame:
+    items = cut_lineage(items.select(F.col(item_key).cast("long").alias(item_key), F.col(text).alias("item_text")).where(f"item_text is not null and `{item_key}` is not null").distinct().withColumn("item_row", F.monotonically_increasing_id()))
+    docs = documents.select(F.col(doc_key).alias(doc_key), F.col(text).alias("text")).where("text is not null")
+    # Rows are told apart by a hash of their text, so that keys may repeat, and be null.
+    docs = docs.withColumn("doc_row", F.xxhash64("text"))
+    of_items = cut_lineage(_windows(items.select("item_row", "item_text"), "item_row"))
+    shared = documents.sparkSession.sparkContext.broadcast(_filter(of_items))
+    met = _windows(spread(docs.select("doc_row", "text")), "doc_row", shared).join(of_items.hint("merge"), "hash").select("doc_row", "item_row").distinct()
+    pairs = cut_lineage(met)
+    d = docs.join(pairs.hint("merge"), "doc_row").join(items.hint("merge"), "item_row").select(doc_key, item_key, "text", "item_text")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good, extra = [], []
+            for i, (t, item) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                index = build_index([(0, item)], once=not tolerant)
+                get = index.vocabulary.get
+                ids = np.array([get(w, 0) for w in words_of(t)], dtype=np.int32)
+                if tolerant:
+                    found = [(s, e) for _, s, e in tolerant_overlaps(ids, index, run)]
+                else:
+                    found = [()] if len(exact_items(ids, index, run)[0]) else []
+                good += [i] * len(found)
+                extra += found
+            take = pa.array(good, pa.int64())
+            more = [pa.array([e[k] for e in extra], pa.int64()) for k in (0, 1)] if tolerant else []
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *more], names=schema.names)
+
+    return d.mapInArrow(verify, schema)
 
 
 def leaked(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "test_item_id", text: str = "text", run: int = RUN, tolerant: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -166,46 +277,52 @@ def leaked(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item
     equal_words of each pair's best overlap with at least 80 % equal words. Words are maximal runs of a-z and
     0-9 after lower-casing. Defined edge cases: null texts and keys of items are left out, null document
     texts hold nothing, texts of fewer than `run` words can't be found, equal items are each reported, repeated
-    documents count once, no items give no rows. Documents are scanned once per block; only found pairs are shuffled.
+    documents count once, no items give no rows. Documents are scanned once; only found pairs are shuffled, and beyond
+    `block_chars` of evaluation text windows that pass the filter and candidates.
     """
     sc = documents.sparkSession.sparkContext
     kind = documents.schema[doc_key].dataType
     schema = T.StructType([T.StructField(doc_key, kind), T.StructField(item_key, T.LongType()), *([T.StructField(c, T.LongType()) for c in ("span_words", "equal_words")] if tolerant else [])])
     docs = spread(documents.select(doc_key, text).where(F.col(text).isNotNull()))
-    parts = []
-    for block in _blocks(items, item_key, text, block_chars):
-        shared = sc.broadcast(build_index(block))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            get = index.vocabulary.get
-            for b in batches:
-                flat: list[int] = []
-                starts = [0]
-                for t in b.column(1).to_pylist():
-                    flat += [get(w, 0) for w in _WORD.findall(t.lower())]
-                    flat += [0] * index.span  # no window reaches into the next document
-                    starts.append(len(flat))
-                ids = np.array(flat, dtype=np.int32)
-                bounds = np.array(starts)
-                rows, extra = [], []
-                if tolerant:
-                    a, _ = hits(ids, index)
-                    for d in np.unique(np.searchsorted(bounds, a, side="right") - 1).tolist():
-                        for item, span, equal in tolerant_overlaps(ids[bounds[d] : bounds[d + 1]], index, run):
-                            rows.append((d, item))
-                            extra.append((span, equal))
-                else:
-                    a, item = exact_items(ids, index, run)
-                    d = np.searchsorted(bounds, a, side="right") - 1
-                    rows = np.unique(np.stack([d, item], axis=1), axis=0).tolist() if len(d) else []
-                cols = [b.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64())]
-                if tolerant:
-                    cols += [pa.array([e[k] for e in extra], pa.int64()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
-
-        parts.append(docs.mapInArrow(scan, schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy(doc_key, item_key).agg(F.max("span_words").alias("span_words"), F.max("equal_words").alias("equal_words")) if tolerant else out.distinct()
+    few = _small(items, item_key, text, block_chars)
+    if few is None:
+        out = _leaked_by_join(documents, items, doc_key, item_key, text, run, tolerant, schema)
+        return _once(out, doc_key, item_key, tolerant)
+    shared = sc.broadcast(build_index(few, once=not tolerant))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        get = index.vocabulary.get
+        for b in batches:
+            flat: list[int] = []
+            starts = [0]
+            for t in b.column(1).to_pylist():
+                flat += [get(w, 0) for w in _WORD.findall(t.lower())]
+                flat += [0] * index.span  # no window reaches into the next document
+                starts.append(len(flat))
+            ids = np.array(flat, dtype=np.int32)
+            bounds = np.array(starts)
+            rows, extra = [], []
+            if tolerant:
+                a, _ = hits(ids, index)
+                for d in np.unique(np.searchsorted(bounds, a, side="right") - 1).tolist():
+                    for item, span, equal in tolerant_overlaps(ids[bounds[d] : bounds[d + 1]], index, run):
+                        rows.append((d, item))
+                        extra.append((span, equal))
+            else:
+                a, item = exact_items(ids, index, run)
+                d = np.searchsorted(bounds, a, side="right") - 1
+                rows = np.unique(np.stack([d, item], axis=1), axis=0).tolist() if len(d) else []
+            cols = [b.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64())]
+            if tolerant:
+                cols += [pa.array([e[k] for e in extra], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    return _once(docs.mapInArrow(scan, schema), doc_key, item_key, tolerant)
+
+
+def _once(out: DataFrame, doc_key: str, item_key: str, tolerant: bool) -> DataFrame:
+    if not tolerant:
+        return out.distinct()
+    best = out.groupBy(doc_key, item_key).agg(F.max(F.struct("equal_words", "span_words")).alias("b"))
+    return best.select(doc_key, item_key, "b.span_words", "b.equal_words")

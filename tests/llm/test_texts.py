@@ -89,6 +89,31 @@ def test_leaks_against_brute_force(spark):
     assert row.equal_words >= 0.8 * row.span_words >= 0.8 * 12
 
 
+def test_tolerant_recall(spark):
+    """Passages of 20 words with every word replaced with a probability of a tenth, or two swapped for others at random places; the
+    truth is an overlap of 12 words or more along the pasted diagonal with 80 % equal from end to end."""
+    r = random.Random(12)
+    items = [(i, " ".join(f"i{i}w{r.randrange(40)}" for _ in range(60))) for i in range(12)]
+    docs, want = [], set()
+    for d in range(240):
+        i, at = r.randrange(12), r.randrange(40)
+        passage = items[i][1].split()[at : at + 20]
+        changed = [w if r.random() > 0.1 else f"x{r.randrange(9)}" for w in passage]
+        equal = [a == b for a, b in zip(passage, changed, strict=True)]
+        if any(equal[a] and equal[b - 1] and b - a >= 12 and sum(equal[a:b]) >= 0.8 * (b - a) for a in range(20) for b in range(a + 1, 21)):
+            want.add((d, i))
+        docs.append((d, " ".join([f"d{r.randrange(500)}" for _ in range(15)] + changed + [f"d{r.randrange(500)}" for _ in range(15)])))
+    dd, ii = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "test_item_id long, text string")
+    for block in (8_000_000, 100):
+        got = {(x.doc_id, x.test_item_id) for x in leakage.leaked(dd, ii, tolerant=True, block_chars=block).collect()}
+        assert got <= {(d, i) for d, i in got if i == next(k for k, t in items if set(t.split()) & set(docs[d][1].split()))}
+        assert len(got & want) >= 0.9 * len(want) > 150
+    repeated = spark.createDataFrame([(1, "a b " * 20_000), (2, "c " * 11)], "doc_id long, text string")
+    again = spark.createDataFrame([(1, "a b " * 2000), (2, "c " * 3000)], "test_item_id long, text string")
+    for block in (8_000_000, 100):
+        assert [tuple(x) for x in leakage.leaked(repeated, again, block_chars=block).collect()] == [(1, 1)]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 70), max_size=80), st.lists(st.integers(1, 40), min_size=1, max_size=3, unique=True))
 def test_packing(sizes, capacities):
