@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from marketloom.functions.text import escape_html, escape_markdown, truncate
 
-#: Limits of an embed: title, description, a field's name and value, number of fields, all together.
+# The service's limits of an embed: title, description, a field's name and value, number of fields, all together.
 TITLE, DESCRIPTION, NAME, VALUE, FIELDS, TOTAL = 256, 4096, 256, 1024, 25, 6000
 
 

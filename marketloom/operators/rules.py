@@ -80,30 +80,69 @@ def identify(text: Column, profiles: tuple[Profile, ...]) -> Column:
     return F.struct(best["profile"].alias("profile"), best["variant"].alias("variant"), F.when(best.isNotNull(), F.greatest(F.lit(0.3), strength)).alias("strength"), reason.alias("reason"))
 
 
-_CLAUSE = re.compile(r"[.;!?\n]|\b(?:but|however|except|although)\b", re.I)
-
-
-def negated(text: str, start: int, end: int, negations: tuple[str, ...], window: int = 5) -> bool:
-    """Whether a match is denied: a negation at most `window` words before it in the same clause, or an answer such
-    as ": none" right after it."""
-    before = text[:start]
-    cut = [m.end() for m in _CLAUSE.finditer(before)]
-    clause = before[cut[-1] :] if cut else before
-    words = clause.lower().split()[-window:]
-    near = " " + " ".join(words) + " "
-    if any((n in near if n == "n't" else f" {n} " in near) for n in negations):
+_CLAUSE = re.compile(r"[;!?\n]|[.,](?![0-9])|\b(?:but|however)\b")
+_TERM = re.compile(r"[^\W_]+(?:[.,'’][^\W_]+)*")
+# Words that a negation before them is about, so that what follows isn't denied.
+CLOSERS = (
+    "box", "boxes", "packaging", "package", "manual", "manuals", "receipt", "warranty", "return", "returns", "refund", "refunds", "trade", "trades", "lowball", "lowballs", "lowballers", "hold", "holds", "scam", "scams", "scammers",
+    "shipping", "delivery", "offers", "accessories", "cable", "cables", "stand", "remote", "except", "besides", "although", "though",
+)
+_CLOSE = frozenset(CLOSERS)
+_GOES_ON = re.compile(r"[ \t]*(?:[,/&]|(?:and|or|nor)\b)")
+_BETWEEN = re.compile(r"(?:[ \t]+[^\W\d_]+){0,2}[ \t]*(?:([,/])[ \t]*(and|or|nor|&)?[ \t]*|(?:and|or|nor|&)[ \t]+)")
+
+
+def _answers(negations: tuple[str, ...]) -> re.Pattern[str]:
+    """`: none`, `? No`, ` - never` behind a match, up to two words on, unless the answer is about something else."""
+    said = "|".join(re.escape(n).replace("\\ ", r"\W+").replace("'", "['’]") for n in sorted(negations, key=len, reverse=True))
+    return re.compile(rf"(?:[ \t]+[^\W\d_]+){{0,2}}?\s*(?:[:=?]|\s[-–—]+\s)\s*(?:{said}|none|nil|zero|0)(?![\w'’])(?!\s+(?:{'|'.join(CLOSERS)})\b)")
+
+
+def negated(text: str, start: int, end: int, negations: tuple[str, ...], window: int = 5, answers: re.Pattern[str] | None = None) -> bool:
+    """Whether a match in a lower-case text is denied: by a negation that ends at most `window` words before it in the same
+    clause with no `CLOSERS` word between, or by an answer right after it. A negation `n't` is the end of any word."""
+    if (answers or _answers(negations)).match(text, end):
         return True
-    return bool(re.match(r"\s*[:=-]\s*(?:none|no|nil|zero|0)\b", text[end:], re.I))
+    cut = 0
+    for m in _CLAUSE.finditer(text, 0, start):
+        cut = m.end()
+    words = [w.replace("’", "'") for w in _TERM.findall(text[cut:start])]
+    for last in range(len(words) - 1, max(-1, len(words) - window - 1), -1):
+        if words[last] in _CLOSE:
+            return False
+        for n in negations:
+            term = n.split()
+            if words[max(0, last - len(term) + 1) : last + 1] == term or (n == "n't" and words[last].endswith("n't")):
+                return True
+    return False
+
+
+def _listed(text: str, before: int, start: int, end: int) -> bool:
+    """Whether a match goes on a list of denied things: after a conjunction, or after a comma if the list goes on behind it."""
+    m = _BETWEEN.fullmatch(text, before, start)
+    return m is not None and (m.group(1) is None or bool(m.group(2)) or _GOES_ON.match(text, end) is not None)
+
+
+def _holds(text: str, pattern: re.Pattern[str], negations: tuple[str, ...], answers: re.Pattern[str]) -> bool:
+    low, denied = text.lower(), None
+    if len(low) != len(text):  # a letter that grows: positions are those of the lower-case text
+        text = low
+    for m in pattern.finditer(text):
+        if negated(low, m.start(), m.end(), negations, answers=answers) or (denied is not None and _listed(low, denied, m.start(), m.end())):
+            denied = m.end()
+        else:
+            return True
+    return False
 
 
 def undenied(text: Column, group: Group) -> Column:
     """Whether a pattern of the group is found in `text` at least once without being denied."""
     pattern = re.compile("|".join(f"(?:{p})" for p in group.patterns), re.I)
-    negations = group.negations
+    negations, answers = group.negations, _answers(group.negations)
 
     @F.pandas_udf(T.BooleanType())
     def check(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: bool(t) and any(not negated(t, m.start(), m.end(), negations) for m in pattern.finditer(t)))
+        return s.map(lambda t: bool(t) and _holds(t, pattern, negations, answers))
 
     hit = _any(text, group.patterns)
     return check(F.when(hit, text))

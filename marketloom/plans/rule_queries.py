@@ -72,8 +72,23 @@ def rule_groups(spark: SparkSession, d: str) -> DataFrame:
     return i.select("item_id", "rejected_by", F.round(values.noisy_or(F.transform("signals", lambda s: s["weight"])), 6).alias("joint"))
 
 
-@query()
+#: Descriptions that speak of damage in one way or another, and whether they state it.
+_CLAIMS = (
+    ("is dented", True), ("is not dented", False), ("no box dented corner", True), ("no dented, bent or broken parts", False), ("no dents, bent or broken parts", True), ("not bent, broken screen", True), ("dented: none", False), ("bent? no returns", True), ("never broken but dented", True), ("isn''t broken", False),
+    ("works. nothing else", False), ("no coil whine, no broken pins", False), ("not dented or faded", False), ("it is no longer new, broken", True), ("broken - never", False), ("faded", True), ("no warranty though bent", True),
+)
+
+
+@query(f"SELECT item_id, list_value({', '.join(str(b).lower() for _, b in _CLAIMS)})[(item_id % {len(_CLAIMS)}) + 1] AS damaged FROM deal_items")
 def negation_match(spark: SparkSession, d: str) -> DataFrame:
+    """Damage stated and not denied, in a list of cases, one with each item's number."""
+    said = F.get(F.array(*(F.lit(a.replace("''", "'")) for a, _ in _CLAIMS)), (F.col("item_id") % len(_CLAIMS)).cast("int"))
+    return load(spark, d, "deal_items").select("item_id", rules.group_match(F.concat(F.lit("Item "), "item_id", F.lit(". "), said), DAMAGE).alias("damaged"))
+
+
+@query()
+def damage_stated(spark: SparkSession, d: str) -> DataFrame:
+    """Damage stated and not denied in the items' own descriptions."""
     return load(spark, d, "deal_items").select("item_id", rules.group_match(F.col("description"), DAMAGE).alias("damaged"))
 
 
