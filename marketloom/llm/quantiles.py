@@ -28,7 +28,7 @@ from marketloom.tables import cut_lineage
 
 PERCENTILES = (50, 90, 95, 99)
 #: After a round, a range with at most so many rows is settled by sorting them.
-SETTLE = 64
+SETTLE = 1024
 #: Rows still in ranges are written anew once they are at most this share of the rows read.
 NARROW = 0.25
 #: Ranges of up to so many groups (some 200 bytes each) are sent to all tasks; beyond, they are joined by key.

@@ -203,7 +203,7 @@ def test_select_by_rounds_only(spark):
     for q in {q for q, _ in rows} - {"none"}:
         vs = sorted(v for k, v in rows if k == q)
         want |= {(q, p): (len(vs), vs[max(1, (len(vs) * p + 99) // 100) - 1]) for p in quantiles.PERCENTILES}
-    for settle in (1, 64):
+    for settle in (1, 64, quantiles.SETTLE):
         got = quantiles.select_percentiles(df, "query", "total_price", settle=settle).collect()
         assert {(x.query, x.percentile): (x.n, x.value) for x in got} == want and len(got) == len(want)
 
