@@ -43,8 +43,9 @@ def unescape(s: pd.Series) -> pd.Series:
 
 def strip_markup(c: Column) -> Column:
     """Without script and style blocks and comments (unclosed ones run to the end); block tags become line breaks."""
-    c = F.regexp_replace(F.regexp_replace(c, _BLOCKS, " "), _COMMENTS, " ")
-    return F.regexp_replace(F.regexp_replace(c, _BREAKS, "\n"), r"<[^>]{0,2000}>", "")
+    out = F.regexp_replace(F.regexp_replace(c, _BLOCKS, " "), _COMMENTS, " ")
+    out = F.regexp_replace(F.regexp_replace(out, _BREAKS, "\n"), r"<[^>]{0,2000}>", "")
+    return F.when(F.contains(c, F.lit("<")) | F.contains(c, F.lit("]]>")), out).otherwise(c)
 
 
 def squeeze(c: Column, keep_newlines: bool = False) -> Column:
@@ -83,12 +84,17 @@ def url_parts(u: Column) -> Column:
     `www.` at the start stand for https."""
     t = F.trim(F.regexp_replace(F.trim(u), r"^<+|>+$", ""))
     t = F.when(t.startswith("//"), F.concat(F.lit("https:"), t)).when(F.lower(F.substring(t, 1, 4)) == "www.", F.concat(F.lit("https://"), t)).otherwise(t)
-    m = lambda k: F.regexp_extract(t, r"(?i)^(https?)://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^:/?#@\[]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?", k)
-    scheme, host, port = F.lower(m(1)), F.regexp_replace(F.lower(m(2)), r"\.+$", ""), m(3)
-    own = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
+    # One pass of the pattern; what it doesn't fit has no separators.
+    cut = F.split(F.regexp_replace(t, r"(?is)^(https?)://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^:/?#@\[]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?.*$", "$1\x01$2\x01$3\x01$4\x01$5"), "\x01")
     space = lambda c: F.replace(c, F.lit(" "), F.lit("%20"))
-    parts = F.struct(scheme.alias("scheme"), host.alias("host"), F.when(own, "").otherwise(port).alias("port"), space(F.when(m(4) == "", "/").otherwise(m(4))).alias("path"), space(m(5)).alias("query"))
-    return F.when((scheme != "") & (host != "") & (host != "[]"), parts)
+
+    def parts(m: Column) -> Column:
+        scheme, host, port, path = F.lower(F.get(m, 0)), F.regexp_replace(F.lower(F.get(m, 1)), r"\.+$", ""), F.get(m, 2), F.get(m, 3)
+        own = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
+        out = F.struct(scheme.alias("scheme"), host.alias("host"), F.when(own, "").otherwise(port).alias("port"), space(F.when(path == "", "/").otherwise(path)).alias("path"), space(F.get(m, 4)).alias("query"))
+        return F.when((F.size(m) == 5) & (host != "") & (host != "[]"), out)
+
+    return _bound(cut, parts)
 
 
 def canonical_of(parts: Column) -> Column:
@@ -244,12 +250,19 @@ def condition_of(c: Column) -> Column:
     return F.when(t.rlike("^[0-9]+$"), by_code).otherwise(out)
 
 
+#: A cheap test: no hint is possible without one of these.
+_MAY_HINT = "parts|refurb|renewed|recond|reman|recert|open|used|owned|hand|like|new|nib|nisb|nwt|sealed"
+
+
 def condition_hints(title: Column, text: Column | None = None) -> Column:
     """The classes that a text speaks of, as an array; `text` goes on after the title."""
-    low = F.lower(title if text is None else F.concat_ws("\n", title, text))
-    bare = F.lower(title).rlike(_BARE_NEW)
-    hits = [F.when(low.rlike(p) | bare if name == "new" else low.rlike(p), F.lit(name)) for name, p in CONDITION_HINTS.items()]
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+
+    def said(x: Column) -> Column:
+        low, bare = x["low"], x["title"].rlike(_BARE_NEW)
+        hits = [F.when(low.rlike(p) | bare if name == "new" else low.rlike(p), F.lit(name)) for name, p in CONDITION_HINTS.items()]
+        return F.when(low.rlike(_MAY_HINT), F.filter(F.array(*hits), lambda h: h.isNotNull())).otherwise(F.array().cast("array<string>"))
+
+    return _bound(F.struct(F.lower(title if text is None else F.concat_ws("\n", title, text)).alias("low"), F.lower(title).alias("title")), said)
 
 
 def _safest(classes: Column) -> Column:

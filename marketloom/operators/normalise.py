@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions import money, text, values
+from marketloom.tables import spread
 
 MOST_TITLE, MOST_DESCRIPTION, MOST_IMAGES = 300, 5000, 8
 #: Reasons in the order in which they are looked for.
@@ -30,7 +31,8 @@ def normalise(raw: DataFrame, keep: tuple[str, ...] = ("obs_id",), allowed: tupl
     repeated rows each give theirs; other columns are ignored. One pass, no shuffle.
     """
     text_of = lambda c: F.coalesce(F.col(c), F.lit(""))
-    d = raw.select(
+    needed = ["currency", "condition_raw", "source_kind", "image_urls", "title", "description", "url", "outbound_url", "price_raw", "price_num", "shipping_raw", "shipping_num", "list_price_raw", "list_price_num"]
+    d = spread(raw.select(*dict.fromkeys([*keep, *needed]))).select(
         *keep, "currency", "condition_raw", "source_kind", "image_urls",
         text.clean_text(text_of("title"), MOST_TITLE).alias("title"), text.clean_text(text_of("description"), MOST_DESCRIPTION, keep_newlines=True).alias("description"),
         text.url_parts(F.col("url")).alias("u"), text.url_parts(F.col("outbound_url")).alias("o"),

@@ -46,7 +46,7 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
 def _pages(rows: DataFrame, element: Column, wrap: Callable[[Column], Column]) -> DataFrame:
     """Pages whose body holds the elements of their rows in order, as `wrap` makes of the array."""
     many = rows.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("obs_id", element.alias("e")))).alias("l"))
-    return many.select("page_id", wrap(F.transform("l", lambda x: x["e"])).alias("body"))
+    return spread(many.select("page_id", wrap(F.transform("l", lambda x: x["e"])).alias("body")))
 
 
 _BASE = """r AS (SELECT obs_id, title, url, in_stock, condition_raw, image_urls, description, round(price_num, 2) AS price, CASE WHEN NOT isnan(list_price_num) AND abs(list_price_num) < 1e9 THEN round(list_price_num, 2) END AS was

@@ -12,7 +12,7 @@ from marketloom.functions import money, render, specs, text, values
 from marketloom.operators import asof, history, merge
 from marketloom.operators.normalise import normalise
 from marketloom.sources import feeds
-from marketloom.tables import load
+from marketloom.tables import load, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -75,7 +75,7 @@ def canonical_urls(spark: SparkSession, d: str) -> DataFrame:
     u = F.when(F.col("k") == 4, F.concat(F.lit("https://www.amazon.com/x/gp/product/"), F.lpad(F.expr("right(source_id, 10)"), 10, "0"), F.lit("/ref=a?th=1&tag2=x&pf_rd_p=3"))).when(F.col("k") == 5, F.lit("https://www.ebay.com/itm/1?hash=item&var=2&_trksid=p1&_from=R40"))
     for i, (scheme, decoration, _) in enumerate(_TRACKED):
         u = u.when(F.col("k") == i, F.concat(F.lit(scheme), rest, F.lit(decoration)))
-    parts = r.select("obs_id", text.url_parts(u).alias("p"))
+    parts = spread(r.select("obs_id", u.alias("u"))).select("obs_id", text.url_parts(F.col("u")).alias("p"))
     return parts.select("obs_id", text.canonical_of(F.col("p")).alias("canonical"), text.bare_host(F.col("p")).alias("host"))
 
 
