@@ -194,7 +194,7 @@ def delivery_fold(spark: SparkSession, d: str) -> DataFrame:
 @query("""
     SELECT query, least(min(price), max(total_price)) AS low, greatest(min(price), max(total_price)) AS high FROM deal_items WHERE NOT isnan(total_price) AND NOT isnan(price) GROUP BY query""")
 def price_bands(spark: SparkSession, d: str) -> DataFrame:
-    return routing.widest_band(load(spark, d, "deal_items").where("not isnan(total_price) and not isnan(price)"), ["query"], "price", "total_price")
+    return routing.widest_band(load(spark, d, "deal_items").where("total_price is not null and price is not null and not isnan(total_price) and not isnan(price)"), ["query"], "price", "total_price")
 
 
 @query("""
