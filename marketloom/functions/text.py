@@ -43,9 +43,13 @@ def unescape(s: pd.Series) -> pd.Series:
 
 def strip_markup(c: Column) -> Column:
     """Without script and style blocks and comments (unclosed ones run to the end); block tags become line breaks."""
-    out = F.regexp_replace(F.regexp_replace(c, _BLOCKS, " "), _COMMENTS, " ")
-    out = F.regexp_replace(F.regexp_replace(out, _BREAKS, "\n"), r"<[^>]{0,2000}>", "")
-    return F.when(F.contains(c, F.lit("<")) | F.contains(c, F.lit("]]>")), out).otherwise(c)
+
+    def strip(x: Column) -> Column:
+        out = F.regexp_replace(F.regexp_replace(x, _BLOCKS, " "), _COMMENTS, " ")
+        out = F.regexp_replace(F.regexp_replace(out, _BREAKS, "\n"), r"<[^>]{0,2000}>", "")
+        return F.when(F.contains(x, F.lit("<")) | F.contains(x, F.lit("]]>")), out).otherwise(x)
+
+    return _bound(c, strip)
 
 
 def squeeze(c: Column, keep_newlines: bool = False) -> Column:
@@ -58,9 +62,13 @@ def squeeze(c: Column, keep_newlines: bool = False) -> Column:
 
 def truncate(c: Column, most: int) -> Column:
     """At most `most` characters, cut at a space if there is one in the last 40 %."""
-    head = F.substring(c, 1, most)
-    back = F.regexp_extract(head, rf"(?s)^(.{{{int(most * 0.6)},}})\s", 1)
-    return F.when(F.length(c) <= most, c).otherwise(F.when(back != "", F.rtrim(back)).otherwise(head))
+
+    def cut(x: Column) -> Column:
+        head = F.substring(x, 1, most)
+        back = F.regexp_extract(head, rf"(?s)^(.{{{int(most * 0.6)},}})\s", 1)
+        return F.when(F.length(x) <= most, x).otherwise(F.when(back != "", F.rtrim(back)).otherwise(head))
+
+    return _bound(c, cut)
 
 
 def clean_text(c: Column, most: int | None = None, keep_newlines: bool = False) -> Column:
